@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lengths, packing, quality, toxicity
+from . import decontamination, languages, lengths, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_totals(lengths.length_histogram(lengths.token_lengths(_read(spark, sf_dir, "documents"))))
 
 
+def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(_read(spark, sf_dir, "documents"))
+
+
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -54,5 +58,5 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op6_factorisation_quality, op8_positional_index, op10_cost_balanced_packing)}
+QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op10_cost_balanced_packing)}
 ORACLE_SQL = {"op8_positional_index": OP8_SQL}
