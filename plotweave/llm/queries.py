@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, lengths, packing, quality, toxicity
+from . import decontamination, languages, lengths, nearest, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,9 +54,24 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+def op9_rotated_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (c.v[i] - q.v[i]) * (c.v[i] - q.v[i])), lambda a, b: a + b)) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op10_cost_balanced_packing)}
-ORACLE_SQL = {"op8_positional_index": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
+ORACLE_SQL = {"op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
