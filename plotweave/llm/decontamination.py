@@ -25,80 +25,94 @@ def _small(frame: DataFrame) -> DataFrame:
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return (
         docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"))
-        .select("doc_id", F.xxhash64("_text").alias("doc_key"), terms(F.col("_text")).alias("words"))
-        .select("doc_id", "doc_key", "words", F.posexplode("words").alias("pos", "term"))
+        .select("doc_id", F.xxhash64("_text").alias("doc_key"), terms(F.col("_text")).alias("_words"))
+        .select("doc_id", "doc_key", F.posexplode("_words").alias("pos", "term"))
     )
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """(item_id, phrase array<string>): each `size` consecutive words; a shorter item is one phrase; null and empty items have none."""
-    w = items.select(items[id_col].alias("item_id"), terms(items[text_col]).alias("_w")).where(F.size("_w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - (size - 1), F.lit(1)))
-    return w.select("item_id", "_w", F.explode(starts).alias("_s")).select("item_id", F.slice("_w", F.col("_s"), size).alias("phrase")).distinct()
+def test_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item_id, no, words): the items that have an id and words, numbered, and stored so that the numbers stay."""
+    w = items.select(items[id_col].cast("string").alias("item_id"), terms(items[text_col]).alias("words")).where("item_id is not null and size(words) > 0")
+    return cut(w.withColumn("no", F.monotonically_increasing_id()))
+
+
+def windows(items: DataFrame, size: int = 10) -> DataFrame:
+    """(no, item_id, s, n, phrase) of numbered items: each `size` consecutive words from word s on; a shorter item is one window."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
+    return items.select("no", "item_id", "words", F.explode(starts).alias("s")).select("no", "item_id", "s", F.least(F.size("words"), F.lit(size)).alias("n"), F.slice("words", F.col("s") + 1, size).alias("phrase"))
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, n): how often each term of `vocabulary` (distinct column term) stands in the training documents."""
-    return _tokens(docs, id_col, text_col).select("term").join(_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """(term, count): how often each term of `vocabulary` (distinct column term) stands in the training documents."""
+    return _tokens(docs, id_col, text_col).select("term").join(_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
-def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", context: int = 9) -> DataFrame:
-    """Postings (term, doc_id, doc_key, pos, around_from, around).
+def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Postings (term, doc_id, doc_key, pos); pos counts a document's words from 0.
 
-    pos counts a document's words from 0; doc_key hashes its text, so that rows
-    with one id but different texts stay apart. `around` is the payload: the words
-    from position around_from to pos + context. Only the terms of `vocabulary`
-    (distinct column term) are indexed, or all without it. Null and empty texts have no postings.
+    doc_key hashes the text, so that rows with one id but different texts stay
+    apart. Only the terms of `vocabulary` (distinct column term) are indexed, or
+    all without it. Null and empty texts have no postings. Write it bucketed by
+    term to keep it.
     """
     t = _tokens(docs, id_col, text_col)
     t = t if vocabulary is None else t.join(_small(vocabulary), "term")
-    before = F.greatest(F.col("pos") - context, F.lit(0))
-    return t.select("term", "doc_id", "doc_key", "pos", before.alias("around_from"), F.slice("words", before + 1, F.col("pos") - before + context + 1).alias("around"))
+    return t.select("term", "doc_id", "doc_key", "pos")
 
 
-def rarest_terms(phrases: DataFrame, counts: DataFrame, most: int = 2) -> DataFrame:
-    """(phrase, term, at, n_lists): the `most` places of each phrase whose terms are rarest in the training documents.
+def rarest_terms(wins: DataFrame, counts: DataFrame) -> DataFrame:
+    """(no, item_id, s, n, phrase, lo, hi): the places, in the item, of each window's two rarest terms (lo = hi for one word).
 
-    A phrase with a term that the documents lack can't occur and has no row.
+    A window with a term that the documents lack can't occur and has no row.
     """
-    p = phrases.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("at", "term"))
-    p = p.join(counts, "term", "left")
-    by = Window.partitionBy("phrase")
-    p = p.withColumns({"_missing": F.sum(F.isnull("n").cast("int")).over(by), "_r": F.row_number().over(by.orderBy("n", "at"))})
-    return p.where((F.col("_missing") == 0) & (F.col("_r") <= most)).select("phrase", "term", "at", F.least(F.size("phrase"), F.lit(most)).alias("n_lists"))
+    t = wins.select("no", "s", F.posexplode("phrase").alias("_at", "term")).join(counts, "term", "left")
+    by = Window.partitionBy("no", "s")
+    t = t.withColumns({"_lack": F.sum(F.isnull("count").cast("int")).over(by), "_r": F.row_number().over(by.orderBy("count", "_at"))})
+    two = t.where("_lack = 0 and _r <= 2").groupBy("no", "s").agg(F.min(F.col("s") + F.col("_at")).alias("lo"), F.max(F.col("s") + F.col("_at")).alias("hi"))
+    return wins.join(two, ["no", "s"])
 
 
-def phrase_matches(index: DataFrame, lists: DataFrame) -> DataFrame:
-    """Exact occurrences (doc_id, doc_key, start, phrase).
+def aligned(index: DataFrame, lists: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Candidates (doc_id, doc_key, start, n, phrase, item_id): windows whose two rarest terms stand in a document at the right distance.
 
-    The lists of each phrase's rarest terms are moved back by the term's place in
-    the phrase and intersected: a start must stand in all of them. The words
-    around the posting then confirm the other terms.
+    Each posting is moved back by its term's place in the item. Postings of an
+    item that then agree on one start in one document are intersected: a window
+    stays if both its terms lie in the range of places that agree.
     """
-    start = F.col("pos") - F.col("at")
-    hit = index.join(_small(lists), "term").withColumn("start", start).where(F.col("start") >= 0)
-    same = F.slice("around", F.col("start") - F.col("around_from") + 1, F.size("phrase")) == F.col("phrase")
-    return (
-        hit.withColumn("_same", same)
-        .groupBy("doc_id", "doc_key", "start", "phrase")
-        .agg(F.count_distinct("at").alias("_lists"), F.min("n_lists").alias("_of"), F.max("_same").alias("_same"))
-        .where((F.col("_lists") == F.col("_of")) & F.col("_same"))
-        .select("doc_id", "doc_key", "start", "phrase")
-    )
-
-
-def proximity_matches(index: DataFrame, lists: DataFrame, slop: int = 3) -> DataFrame:
-    """(doc_id, doc_key, pos, phrase): places of a phrase's rarest term round which all its terms stand, in any order, no further apart than the phrase plus `slop` words.
-
-    The index must have been built with a context of the longest phrase plus `slop`.
+    places = lists.select("no", F.explode(F.array("lo", "hi")).alias("place")).distinct()
+    single = lists.groupBy("no").agg(F.min(F.col("hi") > F.col("lo")).alias("_pairs"))
+    places = places.join(numbered.select("no", "words"), "no").join(single, "no").select("no", "place", "_pairs", F.element_at("words", F.col("place") + 1).alias("term"))
+    moved = index.join(_small(cut(places)), "term").withColumn("base", F.col("pos") - F.col("place"))
+    met = moved.groupBy("doc_id", "doc_key", "no", "base").agg(F.min("place").alias("_from"), F.max("place").alias("_to"), F.min("_pairs").alias("_pairs"))
+    met = met.where((F.col("_to") > F.col("_from")) | ~F.col("_pairs"))
+    found = met.join(_small(lists), "no").where((F.col("lo") >= F.col("_from")) & (F.col("hi") <= F.col("_to")) & (F.col("base") + F.col("s") >= 0))
+    return found.select("doc_id", "doc_key", (F.col("base") + F.col("s")).alias("start"), "n", F.array_join("phrase", " ").alias("phrase"), "item_id")
+
+
+def phrase_matches(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too."""
+    found = cut(candidates.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "n", "phrase", "item_id")).alias("_found")).withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}))
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text")).withColumn("_k", F.xxhash64("_text"))
+    d = d.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
+    same = F.filter("_found", lambda m: F.array_join(F.slice("_words", m["start"] + 1, m["n"]), " ") == m["phrase"])
+    none = F.from_json(F.lit("[]"), "array<struct<start:int,n:int,item_id:string>>")
+    matches = F.coalesce(F.transform(same, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["item_id"].alias("item_id"))), none)
+    return d.select("doc_id", F.size("_words").cast("long").alias("n_words"), matches.alias("matches"))
+
+
+def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int = 3) -> DataFrame:
+    """(doc_id, doc_key, no, pos): postings of a phrase's first term near which all its terms stand.
+
+    `phrases` has (no, phrase array<string>); near means within the phrase's
+    length plus `slop` words, before or after, in any order.
     """
-    rarest = lists.withColumn("_r", F.row_number().over(Window.partitionBy("phrase").orderBy("at"))).where("_r = 1").drop("_r")
-    hit = index.join(_small(rarest), "term")
-    span = F.size("phrase") + slop
-    here = F.col("pos") - F.col("around_from")
-    starts = F.sequence(F.greatest(here - span + 2, F.lit(1)), here + 1)
-    near = F.exists(starts, lambda s: F.size(F.array_except("phrase", F.slice("around", s, span))) == 0)
-    return hit.where(near).select("doc_id", "doc_key", "pos", "phrase").distinct()
+    t = phrases.select("no", F.size("phrase").alias("n"), F.array_distinct("phrase").alias("_p")).select("no", "n", F.size("_p").alias("_of"), F.element_at("_p", 1).alias("_first"), F.explode("_p").alias("term"))
+    hits = index.join(t, "term")
+    first = hits.where(F.col("term") == F.col("_first")).select("doc_id", "doc_key", "no", F.col("pos").alias("_pos"))
+    key = first["doc_id"].eqNullSafe(hits["doc_id"]) & (first["doc_key"] == hits["doc_key"]) & (first["no"] == hits["no"])
+    near = first.join(hits, key & (F.abs(hits["pos"] - first["_pos"]) < hits["n"] + slop))
+    by = near.groupBy(first["doc_id"], first["doc_key"], first["no"], first["_pos"].alias("pos"))
+    return by.agg(F.count_distinct(hits["term"]).alias("_n"), F.min(hits["_of"]).alias("_of")).where("_n = _of").drop("_n", "_of")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
@@ -109,30 +123,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty text has no words and no hits; without items nothing is hit; an empty
     table gives no row. Other columns are not read.
     """
-    wins = cut(windows(items, item_id_col, item_text_col, size))
-    vocabulary = cut(wins.select(F.explode("phrase").alias("term")).distinct())
-    counts = term_counts(docs, vocabulary, id_col, text_col)
-    lists = cut(rarest_terms(wins, counts))
-    index = positional_index(docs, cut(lists.select("term").distinct()), id_col, text_col, size - 1)
-    found = phrase_matches(index, lists)
-    by_doc = (
-        found.join(_small(wins), "phrase")
-        .groupBy("doc_id", "doc_key")
-        .agg(F.collect_set(F.struct("start", F.size("phrase").alias("n"))).alias("_at"), F.collect_set("item_id").alias("_items"))
-        .select(
-            F.col("doc_id").alias("_id"),
-            F.col("doc_key").alias("_key"),
-            F.size(F.array_distinct(F.flatten(F.transform("_at", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1))))).cast("long").alias("_hit"),
-            F.transform("_items", lambda x: x.cast("string")).alias("_items"),
-        )
-    )
-    every = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text")).select("doc_id", F.xxhash64("_text").alias("_k"), F.size(terms(F.col("_text"))).cast("long").alias("n_words"))
-    hit = F.coalesce("_hit", F.lit(0).cast("long"))
-    return every.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").select(
+    numbered = test_items(items, item_id_col, item_text_col)
+    wins = windows(numbered, size)
+    vocabulary = cut(numbered.select(F.explode("words").alias("term")).distinct())
+    lists = cut(rarest_terms(wins, cut(term_counts(docs, vocabulary, id_col, text_col))))
+    wanted = lists.select("no", F.explode(F.array("lo", "hi")).alias("_p")).join(numbered, "no").select(F.element_at("words", F.col("_p") + 1).alias("term")).distinct()
+    index = positional_index(docs, cut(wanted), id_col, text_col)
+    found = phrase_matches(docs, aligned(index, lists, numbered), id_col, text_col)
+    hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
+    found = found.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["item_id"]))).alias("_items"))
+    return found.select(
         "doc_id",
         "n_words",
-        hit.alias("n_hit"),
-        F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join(F.array_sort("_items"), ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (hit > 0).alias("contaminated"),
+        "n_hit",
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
