@@ -10,6 +10,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Broadcast a table of test terms only up to so many rows (some hundred bytes each).
 BROADCAST_ROWS = 50_000
+#: Likewise candidate matches, gathered by document.
+BROADCAST_MATCHES = 250_000
 
 
 def terms(text: Column) -> Column:
@@ -93,7 +95,9 @@ def phrase_matches(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id
     """doc_id, n_words and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too."""
     found = cut(candidates.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "n", "phrase", "item_id")).alias("_found")).withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}))
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text")).withColumn("_k", F.xxhash64("_text"))
-    d = d.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
+    total = found.agg(F.sum(F.size("_found"))).first()[0] or 0
+    found = F.broadcast(found) if total <= BROADCAST_MATCHES else found
+    d = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
     same = F.filter("_found", lambda m: F.array_join(F.slice("_words", m["start"] + 1, m["n"]), " ") == m["phrase"])
     none = F.from_json(F.lit("[]"), "array<struct<start:int,n:int,item_id:string>>")
     matches = F.coalesce(F.transform(same, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["item_id"].alias("item_id"))), none)

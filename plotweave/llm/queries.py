@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, lengths, nearest, packing, quality, toxicity
+from . import decontamination, languages, lengths, nearest, packing, quality, recompression, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,28 @@ def op2_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.context_totals(lengths.length_histogram(lengths.token_lengths(_read(spark, sf_dir, "documents"))))
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.deduplicate(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), t AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+), f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM t
+), gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (SELECT doc_id, unnest(range(s, s + 20)) AS i FROM f WHERE r > 1) GROUP BY doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.i) AS k, count(*) AS n
+  FROM words LEFT JOIN (SELECT doc_id, unnest(g) AS i FROM gone) x ON words.doc_id = x.doc_id AND words.i = x.i WHERE x.i IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+def op4_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(_read(spark, sf_dir, "documents"))
 
@@ -73,5 +95,5 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
-ORACLE_SQL = {"op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op3_recompression, op4_interval_tree, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
+ORACLE_SQL = {"op3_recompression": OP3_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
