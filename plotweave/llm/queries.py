@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, languages, lengths, nearest, packing, quality, recompression, suffixes, toxicity
+from . import decontamination, jaccard, languages, lengths, nearest, packing, quality, recompression, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -95,5 +99,5 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op3_recompression, op4_interval_tree, op5_script_viterbi, op6_factorisation_quality, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
+QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op3_recompression, op4_interval_tree, op5_script_viterbi, op6_factorisation_quality, op7_adaptive_prefix_join, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
 ORACLE_SQL = {"op3_recompression": OP3_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
