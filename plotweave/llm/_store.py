@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,13 @@ def cut(frame: DataFrame) -> DataFrame:
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing reads any more, now that a table stands in for them.
+
+    It drops them when the driver's garbage collector meets their plans, which on
+    a roomy driver may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

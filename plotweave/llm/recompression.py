@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import repeats
 from ._columns import SLICE_BYTES, mix, slices, text_buffers, words
-from ._store import cut
+from ._store import cut, release
 
 ROUNDS = 3
 
@@ -135,13 +135,17 @@ def _compare(size: int):
 def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     """(doc, part, ranges): windows that also start earlier, from (doc, part, text)."""
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
-    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").mapInArrow(_compare(size), repeats._STRETCH)
+    release(d.sparkSession)
+    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").select("doc", "part", "text", "ranges").mapInArrow(_compare(size), repeats._STRETCH)
     marks = met.where("kind = 1").unionByName(repeats.settle(again, False).where("kind = 1"))
     return repeats.by_document(marks, "ranges")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row, and the columns `carry` as they are.
+
+    kept_sha256 is of the kept words joined by spaces; kept_text is that too, or the
+    text itself where nothing was removed.
 
     Removes each word that a window of `size` words covers which also starts
     earlier: in a document with a smaller id, or before in the same one. Windows
@@ -149,15 +153,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before all others; rows that share an id are parts of one document
     (repeats.prepared); an empty table gives no row. Other columns are not read.
     """
-    d = repeats.prepared(docs, id_col, text_col)
+    d = repeats.prepared(docs, id_col, text_col, carry)
 
     def run(batches):
         for b in batches:
-            raw, offsets = text_buffers(b.column(2))
+            raw, offsets = text_buffers(b.column("text"))
             n_words, n_removed, sha, kept = [], [], [], []
             for i, j in slices(offsets):
                 w = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                gone = repeats.covered(w.first, *repeats.ranges(b.column(3), i, j), size)
+                gone = repeats.covered(w.first, *repeats.ranges(b.column("ranges"), i, j), size)
                 stay = np.flatnonzero(~gone)
                 length = (w.end - w.start)[stay] + 1
                 text = w.raw[np.minimum(repeats.runs(w.start[stay], length), max(len(w.raw) - 1, 0))]
@@ -169,11 +173,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_words += np.diff(w.first).tolist()
                 n_removed += (np.diff(w.first) - np.diff(np.searchsorted(stay, w.first))).tolist()
                 sha += [hashlib.sha256(p).hexdigest() for p in parts]
-                kept += parts
+                source = raw[offsets[i] : offsets[j]].tobytes()
+                base = (offsets[i : j + 1] - offsets[i]).tolist()
+                kept += [p if n else source[x:y] for p, n, x, y in zip(parts, n_removed[i:j], base[:-1], base[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                [b.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), b.column("rest")],
+                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"],
             )
 
-    out = repeats.with_ranges(d, repeated_windows(d, size), "left").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return out.select(F.nullif("doc", F.lit(repeats.NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
+    out = repeats.with_ranges(d, repeated_windows(d, size), "left")
+    schema = f"doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {d.schema['rest'].dataType.simpleString()}"
+    done = out.mapInArrow(run, schema)
+    return done.select(F.nullif("doc", F.lit(repeats.NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", *(F.col("rest")[c].alias(c) for c in carry))

@@ -56,20 +56,20 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, part, text), null ids as NO_ID and null texts as empty.
+def prepared(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, part, text, rest), null ids as NO_ID and null texts as empty; rest holds the columns `carry`.
 
     Rows that share an id are parts of one document, in order of a hash of their
     text; matches don't cross parts, and rows with the same id and text are one part.
     """
-    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("rest"))
     keys = d.select("doc", F.xxhash64("text").alias("_k"))
     several = keys.groupBy("doc").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b")).where("_a <> _b").select("doc")
     if several.isEmpty():
-        return d.select("doc", F.lit(0).alias("part"), "text")
+        return d.select("doc", F.lit(0).alias("part"), "text", "rest")
     parts = keys.join(several, "doc").groupBy("doc").agg(F.array_sort(F.collect_set("_k")).alias("_ks"))
     place = F.coalesce(F.array_position("_ks", F.xxhash64("text")) - 1, F.lit(0)).cast("int")
-    return d.join(parts, "doc", "left").select("doc", place.alias("part"), "text")
+    return d.join(parts, "doc", "left").select("doc", place.alias("part"), "text", "rest")
 
 
 def _records(kind, k, c, doc, at, n) -> pa.RecordBatch:
@@ -158,7 +158,7 @@ def stretches(docs: DataFrame, scheme: Callable) -> DataFrame:
         for b in batches:
             yield from _in_slices(b, make)
 
-    return docs.mapInArrow(run, _STRETCH)
+    return docs.select("doc", "part", "text").mapInArrow(run, _STRETCH)
 
 
 def settle(rows: DataFrame, go_on: bool) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import repeats
 from ._columns import SLICE_BYTES, mix, runs, slices, text_buffers
-from ._store import cut
+from ._store import cut, release
 
 GRAM = 32
 #: Bytes of a suffix that are sorted beyond the window's size.
@@ -47,28 +47,50 @@ def scheme(size: int):
     gram = min(GRAM, max(1, size // 2))
 
     def make(raw, offsets):
-        at, doc = repeats.window_starts(offsets, size)
-        if not len(at):
-            empty = np.zeros(0, np.int64)
-            return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
-        h1, h2 = repeats.RangeHash(_BYTE_1[raw]), repeats.RangeHash(_BYTE_2[raw])
-        g = np.arange(len(raw) - gram + 1)
-        hashes = h1(g, g + gram)
-        anchor = _least(hashes, size - gram + 1)[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-        s = np.flatnonzero(new)
-        count = np.diff(np.append(s, len(at)))
-        first = at[s]
-        return hashes[anchor[s]], h2(first, first + count - 1 + size), doc[s], first - offsets[doc[s]], count
+        return _anchored(raw, offsets, *repeats.window_starts(offsets, size), size, gram)
 
     return make
 
 
+def _anchored(raw, offsets, at, doc, size: int, gram: int):
+    """Stretches of the windows that begin at `at` (ascending), by anchors of `gram` bytes."""
+    if not len(at):
+        empty = np.zeros(0, np.int64)
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+    h1, h2 = repeats.RangeHash(_BYTE_1[raw]), repeats.RangeHash(_BYTE_2[raw])
+    g = np.arange(len(raw) - gram + 1)
+    hashes = h1(g, g + gram)
+    anchor = _least(hashes, size - gram + 1)[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+    s = np.flatnonzero(new)
+    count = np.diff(np.append(s, len(at)))
+    first = at[s]
+    return hashes[anchor[s]], h2(first, first + count - 1 + size), doc[s], first - offsets[doc[s]], count
+
+
+def _refined(size: int):
+    """The stretches that go on, cut finer: anchors nearly as long as a window are shared by little but real repeats."""
+    gram = max(1, size - max(size // 6, 1))
+
+    def run(batches):
+        for b in batches:
+            ids, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            raw, offsets = text_buffers(b.column(2))
+            for i, j in slices(offsets):
+                text, at0 = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                d, a, n = repeats.ranges(b.column(3), i, j)
+                s = np.sort(repeats.runs(a + at0[d], n))
+                k, c, d, at, n = _anchored(text, at0, s, np.searchsorted(at0, s, "right") - 1, size, gram)
+                yield from repeats.unlike(k, c, ids[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART), n)
+
+    return run
+
+
 _SUFFIX = "k long, text binary, left int, doc long, at long"
 
 
-def _suffixes(size: int, every: bool):
+def _suffixes(size: int, every: bool = False):
     """Suffixes of the stretches that go on: unless `every`, a slice's equal ones once, the others marked (k null)."""
 
     def run(batches):
@@ -242,17 +264,20 @@ def _sorted_suffixes(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition(spread).sortWithinPartitions("text", "doc", "at")
 
 
-def _prepare_suffixes(d: DataFrame, size: int, every: bool) -> tuple[DataFrame, DataFrame]:
+def _prepare_suffixes(d: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
-    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner")
-    return met, again.mapInArrow(_suffixes(size, every), _SUFFIX)
+    release(d.sparkSession)
+    rough = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner")
+    fine = repeats.settle(rough.select("doc", "part", "text", "ranges").mapInArrow(_refined(size), repeats._STRETCH), True)
+    again = repeats.with_ranges(d, repeats.by_document(fine.where("kind = 2"), "ranges"), "inner")
+    return met.where("kind = 1").unionByName(fine.where("kind = 1")), again.select("doc", "part", "text", "ranges").mapInArrow(_suffixes(size), _SUFFIX)
 
 
 def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     """(doc, part, ranges): windows that also start earlier, from (doc, part, text)."""
-    met, suffixes = _prepare_suffixes(d, size, False)
+    met, suffixes = _prepare_suffixes(d, size)
     marks = _sorted_suffixes(suffixes).mapInArrow(_scan(size, False), repeats._STRETCH)
-    return repeats.by_document(met.where("kind = 1").unionByName(marks.where("kind = 1")), "ranges")
+    return repeats.by_document(met.unionByName(marks.where("kind = 1")), "ranges")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
@@ -264,7 +289,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = repeats.prepared(docs, id_col, text_col)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.octet_length("text") - size + 1).alias("n")))
-    every = d.where(F.octet_length("text") >= size).withColumn("ranges", whole).mapInArrow(_suffixes(size, True), _SUFFIX)
+    every = d.where(F.octet_length("text") >= size).select("doc", "part", "text", whole.alias("ranges")).mapInArrow(_suffixes(size, True), _SUFFIX)
     rows = _sorted_suffixes(every).mapInArrow(_scan(size, True), repeats._STRETCH).where("kind = 3")
     place = F.col("at").bitwiseAND(F.lit((1 << repeats.PART) - 1))
     return rows.select(F.col("k").alias("first_doc"), F.col("c").bitwiseAND(F.lit((1 << repeats.PART) - 1)).alias("first_at"), F.col("n").alias("length"), F.col("doc").alias("doc_id"), place.alias("at"))
@@ -283,11 +308,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for b in batches:
-            raw, offsets = text_buffers(b.column(2))
+            raw, offsets = text_buffers(b.column("text"))
             n_removed, n_spans, sha, kept = [], [], [], []
             for i, j in slices(offsets):
                 text, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                gone = repeats.covered(at, *repeats.ranges(b.column(3), i, j), size)
+                gone = repeats.covered(at, *repeats.ranges(b.column("ranges"), i, j), size)
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 edge = at[:-1][np.diff(at) > 0]
