@@ -1,16 +1,58 @@
-"""The corpus pipeline: a list of stages over the documents table."""
+"""The corpus pipeline: stages over the documents table, each over all that the one before has kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from plotweave.llm import decontamination, jaccard, languages, packing, recompression
+from plotweave.llm._store import cut
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and texts of which no language covers half."""
+    return languages.keep_identified(docs, languages.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: sets of five-word shingles, Jaccard of 0.8 or more."""
+    return jaccard.keep_one(docs, n=5, percent=80)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 20 words or more that also stand earlier; a document that has nothing else goes."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    kept = recompression.deduplicate(docs, carry=others + ("n_chars",))
+    kept = kept.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    named = kept.select(*others, "doc_id", F.col("kept_text").alias("text"), length.alias("n_chars"))
+    return named.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item, or a shorter item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of what is left into sequences of 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
+
+#: SQL has no tokenizer and no Viterbi decoding; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents table."""
+    """Applies all stages to the documents table; each stage's rows are written before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -91,17 +91,18 @@ def aligned(index: DataFrame, lists: DataFrame, numbered: DataFrame) -> DataFram
     return found.select("doc_id", "doc_key", (F.col("base") + F.col("s")).alias("start"), "n", F.array_join("phrase", " ").alias("phrase"), "item_id")
 
 
-def phrase_matches(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too."""
+def phrase_matches(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, the columns `carry` as a struct `row`, and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too."""
     found = cut(candidates.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "n", "phrase", "item_id")).alias("_found")).withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}))
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text")).withColumn("_k", F.xxhash64("_text"))
+    row = F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("row")
+    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), row).withColumn("_k", F.xxhash64("_text"))
     total = found.agg(F.sum(F.size("_found"))).first()[0] or 0
     found = F.broadcast(found) if total <= BROADCAST_MATCHES else found
     d = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
     same = F.filter("_found", lambda m: F.array_join(F.slice("_words", m["start"] + 1, m["n"]), " ") == m["phrase"])
     none = F.from_json(F.lit("[]"), "array<struct<start:int,n:int,item_id:string>>")
     matches = F.coalesce(F.transform(same, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["item_id"].alias("item_id"))), none)
-    return d.select("doc_id", F.size("_words").cast("long").alias("n_words"), matches.alias("matches"))
+    return d.select("doc_id", F.size("_words").cast("long").alias("n_words"), "row", matches.alias("matches"))
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int = 3) -> DataFrame:
@@ -111,12 +112,21 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int = 3) -> Da
     length plus `slop` words, before or after, in any order.
     """
     t = phrases.select("no", F.size("phrase").alias("n"), F.array_distinct("phrase").alias("_p")).select("no", "n", F.size("_p").alias("_of"), F.element_at("_p", 1).alias("_first"), F.explode("_p").alias("term"))
-    hits = index.join(t, "term")
-    first = hits.where(F.col("term") == F.col("_first")).select("doc_id", "doc_key", "no", F.col("pos").alias("_pos"))
-    key = first["doc_id"].eqNullSafe(hits["doc_id"]) & (first["doc_key"] == hits["doc_key"]) & (first["no"] == hits["no"])
-    near = first.join(hits, key & (F.abs(hits["pos"] - first["_pos"]) < hits["n"] + slop))
-    by = near.groupBy(first["doc_id"], first["doc_key"], first["no"], first["_pos"].alias("pos"))
-    return by.agg(F.count_distinct(hits["term"]).alias("_n"), F.min(hits["_of"]).alias("_of")).where("_n = _of").drop("_n", "_of")
+    hits = index.join(t, "term").select("doc_id", "doc_key", "no", "pos", "term", "n", "_of", "_first")
+    first = hits.where(F.col("term") == F.col("_first")).select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), F.col("no").alias("_no"), F.col("pos").alias("_pos"))
+    key = F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("doc_key")) & (F.col("_no") == F.col("no"))
+    near = first.join(hits, key & (F.abs(F.col("pos") - F.col("_pos")) < F.col("n") + slop))
+    by = near.groupBy("_d", "_k", "_no", "_pos").agg(F.count_distinct("term").alias("_n"), F.min("_of").alias("_of")).where("_n = _of")
+    return by.select(F.col("_d").alias("doc_id"), F.col("_k").alias("doc_key"), F.col("_no").alias("no"), F.col("_pos").alias("pos"))
+
+
+def _found(docs: DataFrame, numbered: DataFrame, id_col: str, text_col: str, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    wins = windows(numbered, size)
+    vocabulary = cut(numbered.select(F.explode("words").alias("term")).distinct())
+    lists = cut(rarest_terms(wins, cut(term_counts(docs, vocabulary, id_col, text_col))))
+    wanted = lists.select("no", F.explode(F.array("lo", "hi")).alias("_p")).join(numbered, "no").select(F.element_at("words", F.col("_p") + 1).alias("term")).distinct()
+    index = positional_index(docs, cut(wanted), id_col, text_col)
+    return phrase_matches(docs, aligned(index, lists, numbered), id_col, text_col, carry)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
@@ -127,13 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty text has no words and no hits; without items nothing is hit; an empty
     table gives no row. Other columns are not read.
     """
-    numbered = test_items(items, item_id_col, item_text_col)
-    wins = windows(numbered, size)
-    vocabulary = cut(numbered.select(F.explode("words").alias("term")).distinct())
-    lists = cut(rarest_terms(wins, cut(term_counts(docs, vocabulary, id_col, text_col))))
-    wanted = lists.select("no", F.explode(F.array("lo", "hi")).alias("_p")).join(numbered, "no").select(F.element_at("words", F.col("_p") + 1).alias("term")).distinct()
-    index = positional_index(docs, cut(wanted), id_col, text_col)
-    found = phrase_matches(docs, aligned(index, lists, numbered), id_col, text_col)
+    found = _found(docs, test_items(items, item_id_col, item_text_col), id_col, text_col, size)
     hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
     found = found.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda x: x["item_id"]))).alias("_items"))
     return found.select(
@@ -144,3 +148,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
+    """The rows without any occurrence of an item's window, with all their columns as they are."""
+    columns = tuple(docs.columns)
+    found = _found(docs, test_items(items, item_id_col, item_text_col), id_col, text_col, size, columns)
+    return found.where(F.size("matches") == 0).select(*(F.col("row")[c].alias(c) for c in columns))

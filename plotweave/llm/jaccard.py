@@ -390,3 +390,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = named.select("node", "component").join(least, "component").select("node", "component_id")
     out = members.join(found, "node", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
+    """The document with the smallest id of each component, with all columns; a null id stays only if its whole component has none."""
+    found = similar_documents(docs, id_col, text_col, n, percent)
+    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")

@@ -230,6 +230,21 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text has a language that covers at least `least` of what tells anything; all columns as they are.
+
+    Null texts and texts without letters go. One narrow pass, so repeated and null ids don't matter.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            names, share = model.predict(b.column(at))
+            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, share)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, first_byte, end_byte (in the UTF-8 text), lang: each run of words that was given one language."""
     kind = docs.schema[id_col].dataType
