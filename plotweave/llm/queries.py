@@ -41,6 +41,23 @@ def op4_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), t AS (SELECT doc_id, s, substr(h, 2 * s - 1, 200) AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS s FROM d WHERE len(h) >= 200)
+), f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM t
+), m AS (SELECT doc_id, s, CASE WHEN s > lag(s, 1, -1000) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 1 ELSE 0 END AS opens FROM f WHERE r > 1
+), n AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM m
+), spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 99 AS b FROM n GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+  UNION ALL SELECT d.doc_id, len(h) // 2 + 1 AS a, coalesce(max(b), 0) AS before FROM d LEFT JOIN spans ON d.doc_id = spans.doc_id GROUP BY d.doc_id, h
+), kept AS (SELECT gaps.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) AS k FROM gaps JOIN d ON d.doc_id = gaps.doc_id GROUP BY gaps.doc_id
+), sums AS (SELECT doc_id, count(*) AS n_spans, sum(b - a + 1) AS n_removed FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""
+
+
 def op5_script_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(_read(spark, sf_dir, "documents"))
 
@@ -100,4 +117,4 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op3_recompression, op4_interval_tree, op5_script_viterbi, op6_factorisation_quality, op7_adaptive_prefix_join, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
-ORACLE_SQL = {"op3_recompression": OP3_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
+ORACLE_SQL = {"op3_recompression": OP3_SQL, "op4_interval_tree": OP4_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
