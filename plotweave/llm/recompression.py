@@ -136,7 +136,7 @@ def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     """(doc, part, ranges): windows that also start earlier, from (doc, part, text)."""
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
     release(d.sparkSession)
-    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").select("doc", "part", "text", "ranges").mapInArrow(_compare(size), repeats._STRETCH)
+    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").select(*repeats.JOINED).mapInArrow(_compare(size), repeats._STRETCH)
     marks = met.where("kind = 1").unionByName(repeats.settle(again, False).where("kind = 1"))
     return repeats.by_document(marks, "ranges")
 

@@ -30,6 +30,8 @@ from ._columns import mix, runs, slices, text_buffers
 #: A document's parts (rows that share its id) are told apart in the upper bits of a place.
 PART = 40
 NO_ID = -(1 << 63)
+#: What steps read of with_ranges: all of it, so that every join reads one and the same exchange of the documents.
+JOINED = ("doc", "part", "text", "ranges", "rest")
 _STRETCH = "kind byte, k long, c long, doc long, at long, n int"
 _MARK = "doc long, at long, n int"
 _P = np.uint64(0x9E3779B97F4A7C15)

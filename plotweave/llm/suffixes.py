@@ -3,9 +3,9 @@
 Only suffixes that begin in text which may repeat enter the array: every window of
 `size` bytes has an anchor (the least hash among its `GRAM`-byte strings), stretches
 of windows that share an anchor are settled as in repeats.py, and what differs
-around a shared anchor is compared as suffixes. Spark sorts those (dealt by their
-first `size` bytes, so that an interval of a common prefix that long lies in one
-partition) and the sorted stream is scanned once with a stack: the array's common
+around a shared anchor is compared as suffixes. Spark sorts those (dealt by a longer
+anchor within their first `size` bytes, so that an interval of a common prefix that
+long lies in one partition) and the sorted stream is scanned once with a stack: the array's common
 prefix lengths open and close intervals, each of which is a repeat with all its
 occurrences; it is maximal if the bytes before the occurrences differ.
 """
@@ -69,9 +69,14 @@ def _anchored(raw, offsets, at, doc, size: int, gram: int):
     return hashes[anchor[s]], h2(first, first + count - 1 + size), doc[s], first - offsets[doc[s]], count
 
 
+def _long_gram(size: int) -> int:
+    """Anchors nearly as long as a window are shared by little but real repeats."""
+    return max(1, size - max(size // 6, 1))
+
+
 def _refined(size: int):
-    """The stretches that go on, cut finer: anchors nearly as long as a window are shared by little but real repeats."""
-    gram = max(1, size - max(size // 6, 1))
+    """The stretches that go on, cut finer, by long anchors."""
+    gram = _long_gram(size)
 
     def run(batches):
         for b in batches:
@@ -105,8 +110,12 @@ def _suffixes(size: int, every: bool = False):
                 if not len(at):
                     continue
                 s = at + at0[d]
+                order = np.argsort(s, kind="stable")
+                d, at, s = d[order], at[order], s[order]
                 h1, h2 = repeats.RangeHash(_BYTE_1[text]), repeats.RangeHash(_BYTE_2[text])
                 k, c = h1(s, s + size), h2(s, s + size)
+                found = _anchored(text, at0, s, d, size, _long_gram(size))
+                anchor = np.repeat(found[0], found[4])
                 left = np.where(at > 0, text[np.maximum(s - 1, 0)].astype(np.int32), -1)
                 ids, place = doc[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART)
                 if not every:
@@ -121,11 +130,11 @@ def _suffixes(size: int, every: bool = False):
                         g_doc, g_at, g_n = repeats._joined(ids[gone], place[gone], np.ones(len(gone), np.int64))
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(g_doc), pa.int64()), pa.nulls(len(g_doc), pa.binary()), pa.array(g_n.astype(np.int32)), pa.array(g_doc), pa.array(g_at)], names=["k", "text", "left", "doc", "at"])
                     pick = np.sort(order[~same])
-                    k, s, d, left, ids, place = (x[pick] for x in (k, s, d, left, ids, place))
+                    anchor, s, d, left, ids, place = (x[pick] for x in (anchor, s, d, left, ids, place))
                 length = np.minimum(size + BEYOND, at0[d + 1] - s)
                 ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
                 bytes_ = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(text[runs(s, length)]))])
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), bytes_, pa.array(left), pa.array(ids), pa.array(place)], names=["k", "text", "left", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), bytes_, pa.array(left), pa.array(ids), pa.array(place)], names=["k", "text", "left", "doc", "at"])
 
     return run
 
@@ -260,6 +269,7 @@ def _scan(size: int, groups: bool):
 
 
 def _sorted_suffixes(suffixes: DataFrame) -> DataFrame:
+    # equal windows have equal anchors; neighbours too, mostly, and so travel side by side and compress well
     spread = F.when(F.col("k").isNull(), F.xxhash64("doc", "at")).otherwise(F.col("k"))
     return suffixes.repartition(spread).sortWithinPartitions("text", "doc", "at")
 
@@ -268,9 +278,9 @@ def _prepare_suffixes(d: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
     release(d.sparkSession)
     rough = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner")
-    fine = repeats.settle(rough.select("doc", "part", "text", "ranges").mapInArrow(_refined(size), repeats._STRETCH), True)
+    fine = repeats.settle(rough.select(*repeats.JOINED).mapInArrow(_refined(size), repeats._STRETCH), True)
     again = repeats.with_ranges(d, repeats.by_document(fine.where("kind = 2"), "ranges"), "inner")
-    return met.where("kind = 1").unionByName(fine.where("kind = 1")), again.select("doc", "part", "text", "ranges").mapInArrow(_suffixes(size), _SUFFIX)
+    return met.where("kind = 1").unionByName(fine.where("kind = 1")), again.select(*repeats.JOINED).mapInArrow(_suffixes(size), _SUFFIX)
 
 
 def repeated_windows(d: DataFrame, size: int) -> DataFrame:
