@@ -29,6 +29,8 @@ MOST_MATCHES = 6
 #: Nodes of a list that are compared at once.
 BLOCK = 512
 BROADCAST_ROWS = 100_000
+#: Words that are counted at a time.
+COUNTED_WORDS = 1_000_000
 _HASH_BITS = 54
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
 
@@ -87,23 +89,38 @@ def _sliced(batch, n: int):
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Hashes and frequencies of frequent n-grams and common words, over all documents.
 
-    Every task counts what it reads and hands on what is frequent there; the
+    Every task counts some documents at a time and hands on what is frequent there; the
     sums that are frequent over all are kept, so at most the inverse of the two
     shares times the n-grams per document are. Rarer ones count as rare.
     """
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]], n_docs: int) -> pa.RecordBatch:
+        keys, counts, kinds = [], [], []
+        total = sum(len(p[1]) for p in parts)
+        for kind, least in ((0, max(2.0, FREQUENT * n_docs)), (1, COMMON * total)):
+            v = np.sort(np.concatenate([np.zeros(0, np.uint64), *(p[kind] for p in parts)]))
+            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+            c = np.diff(np.append(at, len(v)))
+            on = c >= least
+            keys.append(v[at[on]].view(np.int64))
+            counts.append(c[on])
+            kinds.append(np.full(on.sum(), kind, np.int8))
+        keys.append(np.zeros(2, np.int64))
+        counts.append(np.array([n_docs, total]))
+        kinds.append(np.array([2, 3], np.int8))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, counts)], names=["kind", "key", "n"])
+
     def run(batches):
         for b in batches:
-            keys, counts, kinds = [], [], []
-            parts = [(s.token, s.words) for _, _, s in _sliced(b, n)]
-            total = sum(len(p[1]) for p in parts)
-            for kind, least in ((0, max(2.0, FREQUENT * b.num_rows)), (1, COMMON * total)):
-                v, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[kind] for p in parts)]), return_counts=True)
-                on = c >= least
-                keys.append(v[on].view(np.int64)), counts.append(c[on]), kinds.append(np.full(on.sum(), kind, np.int8))
-            keys.append(np.zeros(1, np.int64)), counts.append(np.array([b.num_rows])), kinds.append(np.array([2], np.int8))
-            keys.append(np.zeros(1, np.int64)), counts.append(np.array([total])), kinds.append(np.array([3], np.int8))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, counts)], names=["kind", "key", "n"])
+            parts, n_docs, held = [], 0, 0
+            for i, j, s in _sliced(b, n):
+                parts.append((s.token, s.words))
+                n_docs, held = n_docs + j - i, held + len(s.words)
+                if held >= COUNTED_WORDS:
+                    yield counted(parts, n_docs)
+                    parts, n_docs, held = [], 0, 0
+            if parts:
+                yield counted(parts, n_docs)
 
     sums = cut(docs.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r["n"] for r in sums.where("kind >= 2").collect()}

@@ -68,7 +68,7 @@ class Model:
 
     def slice_bytes(self) -> int:
         """Text decoded at a time: decoding takes a byte for each word and pair of languages."""
-        return max(1 << 16, (64 << 20) // max(len(self.languages), 4) ** 2)
+        return max(1 << 16, (32 << 20) // max(len(self.languages), 4) ** 2)
 
     def word_scores(self, w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores by word and language, and which words tell anything."""
