@@ -198,5 +198,5 @@ def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_ranges(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs joined to (doc, part, ranges). The documents' exchange is the same in every such join of a query, so it runs once."""
-    return docs.repartition("doc", "part").join(found.withColumnsRenamed({"doc": "_d", "part": "_p"}), (F.col("doc") == F.col("_d")) & (F.col("part") == F.col("_p")), how).drop("_d", "_p")
+    """docs joined to (doc, part, ranges). The join's own exchange of the documents is the same in every such join of a query, so it runs once."""
+    return docs.join(found.withColumnsRenamed({"doc": "_d", "part": "_p"}), (F.col("doc") == F.col("_d")) & (F.col("part") == F.col("_p")), how).drop("_d", "_p")
