@@ -25,6 +25,8 @@ from ._store import cut, release
 GRAM = 32
 #: Bytes of a suffix that are sorted beyond the window's size.
 BEYOND = 28
+#: Most bytes by which groups that are still equal are compared further at a time.
+FURTHER = 1 << 14
 _BYTE_1 = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
 _BYTE_2 = mix(np.arange(256, dtype=np.uint64) + np.uint64(5000))
 
@@ -93,6 +95,7 @@ def _refined(size: int):
 
 
 _SUFFIX = "k long, text binary, left int, doc long, at long"
+_FURTHER = _SUFFIX + ", c long"
 
 
 def _suffixes(size: int, every: bool = False):
@@ -226,9 +229,11 @@ class IntervalScan:
         self.last = (left, place)
 
 
-def _scan(size: int, groups: bool):
+def _scan(size: int, groups: bool, end: int = 0, further: bool = False):
+    """Reads sorted suffixes. `end` is the length that they are cut to; if `further`, they begin `size` bytes on and k and c tell the groups."""
+
     def run(batches):
-        scan, tail = IntervalScan(size, groups), b""
+        scan, tail, last = IntervalScan(size, groups), b"", None
         for b in batches:
             loose = b.column(0).is_null().to_numpy(zero_copy_only=False)
             marks = []
@@ -241,6 +246,10 @@ def _scan(size: int, groups: bool):
                 joined = np.concatenate([np.frombuffer(tail, np.uint8), raw])
                 prefix = common_prefixes(joined, np.concatenate([[0], offsets + len(tail)]))[1:]
                 tail = raw[offsets[-2] : offsets[-1]].tobytes()
+                if further:
+                    k, c = b.column(0).to_numpy(), b.column(5).to_numpy()
+                    same = np.concatenate([[last == (k[0], c[0])], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
+                    prefix, last = np.where(same, prefix + size, 0), (k[-1], c[-1])
                 left, doc, at = (b.column(i).to_pylist() for i in (2, 3, 4))
                 deep = prefix >= size
                 near = deep.copy()
@@ -259,10 +268,10 @@ def _scan(size: int, groups: bool):
         yield from _groups(scan)
 
     def _groups(scan):
-        """Kind 3: one row for each occurrence of a maximal repeat; k and c are the first's document and place, n the length."""
+        """One row for each occurrence of a repeat; k and c are the first's document and place, n the length. Kind 3: maximal; 4: as long as the suffixes are cut, so it may go on."""
         for length, places in scan.found:
             d, a = (np.array(x, np.int64) for x in zip(*places))
-            yield repeats._records(3, np.full(len(d), d[0]), np.full(len(d), a[0]), d, a, np.full(len(d), length))
+            yield repeats._records(4 if length == end else 3, np.full(len(d), d[0]), np.full(len(d), a[0]), d, a, np.full(len(d), length))
         scan.found = []
 
     return run
@@ -290,19 +299,58 @@ def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     return repeats.by_document(met.unionByName(marks.where("kind = 1")), "ranges")
 
 
+def _suffixes_further(done: int, more: int):
+    """The next `more` bytes of suffixes of (doc, part, text, places) that are equal for `done` bytes."""
+
+    def run(batches):
+        for b in batches:
+            doc, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            raw, offsets = text_buffers(b.column(2))
+            flat = b.column(3).flatten()
+            row = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            at, k, c = (flat.field(n).to_numpy() for n in ("a", "k", "c"))
+            most = max(1, SLICE_BYTES // more)
+            for i in range(0, len(row), most):
+                d, a = row[i : i + most], at[i : i + most]
+                s = offsets[d] + a
+                length = np.minimum(offsets[d + 1] - s - done, more)
+                left = np.where(a > 0, raw[np.maximum(s - 1, 0)].astype(np.int32), -1)
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw[runs(s + done, length)]))])
+                place = a + (part[d].astype(np.int64) << repeats.PART)
+                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + most]), bytes_, pa.array(left), pa.array(doc[d]), pa.array(place), pa.array(c[i : i + most])], names=["k", "text", "left", "doc", "at", "c"])
+
+    return run
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:
-    """(first_doc, first_at, length, doc_id, at): every occurrence of every maximal repeat of `size` to `size` + BEYOND bytes.
+    """(first_doc, first_at, length, doc_id, at): every occurrence of every maximal repeat of at least `size` bytes.
 
     A repeat is maximal if the bytes before its occurrences differ (a text's start
-    differs from all) and so do those after; a longer one is reported by its first
-    `size` + BEYOND bytes. All windows enter the suffix array here.
+    differs from all) and so do those after. All windows enter the suffix array
+    here, cut to `size` + BEYOND bytes. Repeats that reach the cut are compared
+    further in rounds, each over the next bytes (as many as before, FURTHER at most) of the
+    groups that are still equal, until none is. Groups whose occurrences follow one and the
+    same byte hold nothing maximal and are left, so of two copies one suffix each goes on;
+    within a long run of one byte or pattern all do. Rounds number about the longest repeat's
+    length over FURTHER.
     """
-    d = repeats.prepared(docs, id_col, text_col)
+    d = repeats.prepared(docs, id_col, text_col).dropDuplicates(["doc", "part"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.octet_length("text") - size + 1).alias("n")))
     every = d.where(F.octet_length("text") >= size).select("doc", "part", "text", whole.alias("ranges")).mapInArrow(_suffixes(size, True), _SUFFIX)
-    rows = _sorted_suffixes(every).mapInArrow(_scan(size, True), repeats._STRETCH).where("kind = 3")
+    done = size + BEYOND
+    rows = cut(_sorted_suffixes(every).mapInArrow(_scan(size, True, done), repeats._STRETCH))
+    found = rows.where("kind = 3")
+    part = F.shiftright("at", repeats.PART).cast("int")
     place = F.col("at").bitwiseAND(F.lit((1 << repeats.PART) - 1))
-    return rows.select(F.col("k").alias("first_doc"), F.col("c").bitwiseAND(F.lit((1 << repeats.PART) - 1)).alias("first_at"), F.col("n").alias("length"), F.col("doc").alias("doc_id"), place.alias("at"))
+    while not (equal := rows.where("kind = 4")).isEmpty():
+        more = min(done, FURTHER)
+        places = equal.select("doc", part.alias("part"), F.struct(place.alias("a"), "k", "c").alias("_s")).groupBy("doc", "part").agg(F.collect_list("_s").alias("places"))
+        on = repeats.with_ranges(d, places, "inner").select("doc", "part", "text", "places").mapInArrow(_suffixes_further(done, more), _FURTHER)
+        on = on.repartition("k", "c").sortWithinPartitions("k", "c", "text", "doc", "at")
+        rows = cut(on.mapInArrow(_scan(done, True, done + more, True), repeats._STRETCH))
+        found, done = found.unionByName(rows.where("kind = 3")), done + more
+    return found.select(F.col("k").alias("first_doc"), F.col("c").bitwiseAND(F.lit((1 << repeats.PART) - 1)).alias("first_at"), F.col("n").alias("length"), F.col("doc").alias("doc_id"), place.alias("at"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100) -> DataFrame:

@@ -179,6 +179,43 @@ def test_maximal_repeats(spark):
     assert got == want
 
 
+def test_maximal_repeats_beyond_the_sorted_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "FURTHER", 50)
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    size, shared = 20, make(500)
+    cut = size + suffixes.BEYOND
+    text = {1: make(30) + shared + make(30), 2: make(40) + shared + make(9), 3: make(11) + shared[:200] + make(60), 4: make(25) + shared[:cut], 5: make(13) + shared[:cut], 6: "x" * 150, 7: make(300)}
+    text[8] = text[7]
+    text[9] = "z" + text[7][: 2 * cut]
+
+    def common(x, y):
+        n = 0
+        while n < len(x) and n < len(y) and x[n] == y[n]:
+            n += 1
+        return n
+
+    every = sorted((t[a:], i, a) for i, t in text.items() for a in range(len(t)))
+    places = defaultdict(set)
+    deep = [common(every[k][0], every[k - 1][0]) for k in range(1, len(every))]
+    for k, n in enumerate(deep):
+        if n >= size:
+            lo = hi = k
+            while lo and deep[lo - 1] >= n:
+                lo -= 1
+            while hi + 1 < len(deep) and deep[hi + 1] >= n:
+                hi += 1
+            places[every[k][0][:n]] = {x[1:] for x in every[lo : hi + 2]}
+    want = {s: v for s, v in places.items() if len({text[i][a - 1] if a else (i, a) for i, a in v}) > 1}
+    assert max(map(len, want)) >= 500 and any(len(s) == cut for s in want)
+    got, firsts = defaultdict(set), defaultdict(set)
+    rows = suffixes.maximal_repeats(table(spark, [*text.items(), (1, text[1])]), size=size).collect()
+    for x in rows:
+        got[text[x.doc_id][x.at : x.at + x.length]].add((x.doc_id, x.at))
+        firsts[text[x.doc_id][x.at : x.at + x.length]].add((x.first_doc, x.first_at))
+    assert got == want and len(rows) == sum(map(len, want.values())) and all(firsts[s] == {min(v)} for s, v in want.items())
+
+
 def test_equal_spans_hold_equal_symbols():
     r = random.Random(5)
     names = np.array([r.randrange(3) for _ in range(4000)], np.uint64)
