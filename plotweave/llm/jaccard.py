@@ -382,6 +382,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(label.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, doc, row = hash of the text, n), one for each document, and nodes (node, least, component)."""
+    d = docs.select(docs[id_col].cast("long").alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    published = cut(_shared(_publish(d, n, percent, _frequent(d, n))))
+    members = published.where("kind = 1").select("node", "doc", F.col("aux").alias("row"), "n")
+    lists = published.where("kind = 0").select("key", "node", "aux")
+    nodes = published.where("kind = 1 and n > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("aux").alias("row"), F.first("parity").alias("parity"))
+    nodes = cut(nodes)
+    near = _verified(_hub_pairs(lists, percent), nodes, d, n, percent)
+    first = components(nodes, near)
+    rest = _verified(_cross_pairs(lists, nodes.join(first, "node"), percent), nodes, d, n, percent)
+    whole = components(nodes, near.union(rest))
+    return members, nodes.select("node", "least").join(whole, "node")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -392,17 +407,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     linked like copies; a null id takes part but names no component unless it is
     alone; an empty table gives no row. Other columns are not read.
     """
-    d = docs.select(docs[id_col].cast("long").alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    published = cut(_shared(_publish(d, n, percent, _frequent(d, n))))
-    members = published.where("kind = 1").select("node", "doc", "n")
-    lists = published.where("kind = 0").select("key", "node", "aux")
-    nodes = published.where("kind = 1 and n > 0").groupBy("node").agg(F.min("doc").alias("least"), F.first("aux").alias("row"), F.first("parity").alias("parity"))
-    nodes = cut(nodes)
-    near = _verified(_hub_pairs(lists, percent), nodes, d, n, percent)
-    first = components(nodes, near)
-    rest = _verified(_cross_pairs(lists, nodes.join(first, "node"), percent), nodes, d, n, percent)
-    whole = components(nodes, near.union(rest))
-    named = nodes.join(whole, "node")
+    members, named = _grouped(docs, id_col, text_col, n, percent)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.select("node", "component").join(least, "component").select("node", "component_id")
     out = members.join(found, "node", "left")
@@ -410,8 +415,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; a null id stays only if its whole component has none."""
-    found = similar_documents(docs, id_col, text_col, n, percent)
-    gone = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each component, with all columns: the one with the smallest id, then the least hash of its text.
+
+    Null ids come last. Rows are told apart by id and text, so ids may be null or shared;
+    of rows with the same id and text one stays. Texts without n-grams have no links and all stay.
+    """
+    members, named = _grouped(docs, id_col, text_col, n, percent)
+    members = members.where("n > 0")
+    by_node = members.groupBy("node").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "row")).alias("stay"), F.count(F.lit(1)).alias("rows"))
+    by_node = by_node.join(named.select("node", "component"), "node")
+    stay = by_node.groupBy("component").agg(F.min("stay").alias("stay"), F.sum("rows").alias("rows")).where("rows > 1").select("component", "stay")
+    judged = members.join(by_node.select("node", "component").join(stay, "component").select("node", "stay"), "node")
+    judged = judged.withColumn("stays", F.col("doc").eqNullSafe(F.col("stay.doc")) & (F.col("row") == F.col("stay.row")))
+    keys = judged.groupBy(F.col("doc").alias("_id"), F.col("row").alias("_row")).agg(F.first("stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    keys = cut(keys.where("not _stays or _rows > 1").select("_id", "_row", "_stays"))
+    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_row"))
+    kept = docs.join(F.broadcast(keys) if small else keys, same, "left_anti")
+    repeated = keys.where("_stays")
+    if repeated.isEmpty():
+        return kept
+    repeated = F.broadcast(repeated) if small else repeated
+    one = docs.join(repeated, same).select("_id", "_row", F.struct(*(docs[c] for c in docs.columns)).alias("_all")).groupBy("_id", "_row").agg(F.first("_all").alias("_all"))
+    return kept.union(one.select(*(F.col("_all")[c].alias(c) for c in docs.columns)))

@@ -286,6 +286,24 @@ def test_similar_documents(spark, monkeypatch, n, percent, block):
     assert {x.doc_id for x in kept.collect()} == {c for _, _, c in got}
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = [" ".join(f"{x}{k}" for k in range(60)) for x in "pqrstu"]
+    p, q, r, s, t, u = near
+    rows = [
+        (None, p), (1, p + " more"), (None, q), (None, r), (None, r + " more"),  # a copy of 1; linked to nothing; two near copies without an id
+        (2, s), (7, s + " more"), (7, t), (3, u), (3, u), (3, u), (8, u + " more"),  # another text of an id that goes; rows that repeat the smallest id
+        (9, None), (9, ""), (None, " "),  # no n-grams
+    ]
+    kept = jaccard.keep_one(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    r_of = [x for x in got if x[0] is None and x[1] in (r, r + " more")]
+    assert len(r_of) == 1
+    want = [(1, p + " more"), (None, q), (2, s), (7, t), (3, u), (9, None), (9, ""), (None, " ")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want + r_of))
+    assert all(x.kind == 7 and x.lang == "en" and x.node is None for x in kept.collect())
+
+
 def test_large_group_of_near_copies_is_not_paired_off(spark):
     r = random.Random(9)
     base = [f"w{k}" for k in range(120)]
