@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._columns import LOWER, Words, slices, text_buffers, words
+from ._columns import LOWER, Words, runs, slices, text_buffers, words
 from ._labelled import held_out
 
 GRAM_BITS = 16
@@ -20,22 +20,62 @@ SCRIPTS = (
     ("devanagari", 0x900, 0x980), ("bengali", 0x980, 0xA00), ("gurmukhi", 0xA00, 0xA80), ("gujarati", 0xA80, 0xB00), ("tamil", 0xB80, 0xC00), ("telugu", 0xC00, 0xC80), ("kannada", 0xC80, 0xD00),
     ("malayalam", 0xD00, 0xD80), ("sinhala", 0xD80, 0xE00), ("thai", 0xE00, 0xE80), ("lao", 0xE80, 0xF00), ("tibetan", 0xF00, 0x1000), ("myanmar", 0x1000, 0x10A0), ("georgian", 0x10A0, 0x1100),
     ("hangul", 0x1100, 0x1200), ("ethiopic", 0x1200, 0x13A0), ("khmer", 0x1780, 0x1800), ("mongolian", 0x1800, 0x18B0), ("kana", 0x3040, 0x3100), ("han", 0x3400, 0xA000), ("hangul", 0xAC00, 0xD7B0),
+    ("han", 0x20000, 0x323B0),
 )
 NAMES = tuple(dict.fromkeys(["", *(s[0] for s in SCRIPTS)]))
-_SCRIPT = np.zeros(1 << 16, np.int8)
+_SCRIPT = np.zeros(1 << 21, np.int8)
 for _name, _from, _to in SCRIPTS:
     _SCRIPT[_from:_to] = NAMES.index(_name)
+#: Characters without a script that belong to the letter before: combining marks and joiners. All others part words.
+_PARTS = _SCRIPT == 0
+for _from, _to in ((0x300, 0x370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x200C, 0x200E), (0x20D0, 0x2100), (0xFE00, 0xFE10), (0xFE20, 0xFE30)):
+    _PARTS[_from:_to] = False
 #: ASCII letters and the bytes of non-ASCII characters.
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[65:91] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 
+def _characters(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the UTF-8 characters that begin at `at`."""
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    a = padded[at].astype(np.int32)
+    b, c, d = (padded[at + k].astype(np.int32) & 63 for k in (1, 2, 3))
+    three = np.where(a < 0xF0, ((a & 15) << 12) | (b << 6) | c, ((a & 7) << 18) | (b << 12) | (c << 6) | d)
+    return np.where(a < 0x80, a, np.where(a < 0xE0, ((a & 31) << 6) | b, three))
+
+
+def _scripted(raw: np.ndarray) -> np.ndarray:
+    """The bytes, with spaces for non-ASCII characters that have no script and so part words."""
+    at = np.flatnonzero(raw >= 0xC0)
+    if not len(at):
+        return raw
+    at = at[_PARTS[_characters(raw, at)]]
+    n = 2 + (raw[at] >= 0xE0) + (raw[at] >= 0xF0)
+    out = raw.copy()
+    for k in range(4):
+        out[at[n > k] + k] = 32
+    return out
+
+
 def _word_scripts(w: Words) -> np.ndarray:
-    """The script of each word's first character."""
-    padded = np.concatenate([w.raw, np.zeros(3, np.uint8)]).astype(np.int32)
-    a, b, c = padded[w.start], padded[w.start + 1] & 63, padded[w.start + 2] & 63
-    code = np.where(a < 0x80, a, np.where(a < 0xE0, ((a & 31) << 6) | b, np.where(a < 0xF0, ((a & 15) << 12) | (b << 6) | c, 0)))
-    return _SCRIPT[code]
+    """The script of most of each word's characters; 0 for a word that has only marks."""
+    if not len(w):
+        return np.zeros(0, np.int8)
+    at = np.flatnonzero(_IN_WORD[w.raw] & ((w.raw < 0x80) | (w.raw >= 0xC0)))
+    script = _SCRIPT[_characters(w.raw, at)]
+    at, script = at[script > 0], script[script > 0]
+    first = np.searchsorted(at, w.start)
+    count = np.searchsorted(at, w.end) - first
+    out = np.zeros(len(w), np.int8)
+    has = np.flatnonzero(count)
+    if len(has):
+        out[has] = np.minimum.reduceat(script, first[has])
+        mixed = has[np.maximum.reduceat(script, first[has]) != out[has]]
+        for word in np.array_split(mixed, len(mixed) // 10_000 + 1):
+            n = count[word]
+            cell = np.repeat(np.arange(len(word)) * len(NAMES), n) + script[runs(first[word], n)]
+            out[word] = np.bincount(cell, minlength=len(word) * len(NAMES)).reshape(-1, len(NAMES)).argmax(1)
+    return out
 
 
 def _grams(w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +94,7 @@ def _grams(w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _split(column: pa.Array, most: int):
     raw, offsets = text_buffers(column)
     for i, j in slices(offsets, most):
-        part, at = LOWER[raw[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+        part, at = _scripted(LOWER[raw[offsets[i] : offsets[j]]]), offsets[i : j + 1] - offsets[i]
         yield i, j, words(part, at, _IN_WORD), at
 
 
@@ -153,7 +193,7 @@ class Model:
             mass = np.bincount(doc * many + label, weights=size, minlength=(j - i) * many).reshape(-1, many)
             best = mass.argmax(1)
             has = np.zeros(j - i, bool)
-            has[doc] = True
+            has[doc[tells]] = True
             ascii_letter = np.bincount(doc, weights=w.raw[w.start] < 128, minlength=j - i) > 0
             for d in np.flatnonzero(has & ~ascii_letter):
                 has[d] = any(c.isalpha() for c in (column[i + int(d)].as_py() or ""))
@@ -183,7 +223,7 @@ def _counts(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         for i, j in slices(offsets):
             at = offsets[i : j + 1] - offsets[i]
-            w = words(LOWER[raw[offsets[i] : offsets[j]]], at, _IN_WORD)
+            w = words(_scripted(LOWER[raw[offsets[i] : offsets[j]]]), at, _IN_WORD)
             g, first = _grams(w, at)
             doc = w.doc()
             doc_of_gram = np.repeat(doc, np.diff(first))
@@ -219,7 +259,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row; `und` and 0 for a text that is null or has no letter."""
+    """doc_id, lang_pred, score for every row; `und` and 0 for a text that is null or has no letter of a script in SCRIPTS."""
 
     def run(batches):
         for b in batches:

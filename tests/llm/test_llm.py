@@ -478,3 +478,16 @@ def test_spans_scripts_and_und(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in languages.predict_languages(asked, model).collect()}
     assert got[2] == got[3] == got[4] == ("und", 0.0) and got[5] == ("el", 1.0) and got[None] == ("ru", 1.0)
     assert {r.doc_id for r in languages.keep_identified(asked, model).collect()} == {1, 5, None}
+
+
+def test_leading_marks_and_mixed_words_keep_their_script(spark):
+    en, zh, ja = "the cat sat on the mat and saw the rat", "我们今天去北京看长城和故宫", "わたしはきょうとうきょうへいきます"
+    rows = [(i, [en, zh, ja][i % 3], ["en", "zh", "ja"][i % 3]) for i in range(30)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = {1: ("\u300c" + zh + "\u300d", "zh"), 2: ("\u300e" + ja, "ja"), 3: ("\u201cthe\u201d \u00abcat\u00bb \u00bfsat", "en"), 4: ("\U0001f600" + zh, "zh"), 5: ("NHK" + ja, "ja"), 6: ("\U00020000\U00020001" + zh, "zh"), 7: ("\u2014" + ja + "\u2026", "ja")}
+    docs = table(spark, [(i, t) for i, (t, _) in asked.items()] + [(8, "\u300c\u300d \U0001f600"), (9, "e\u0301t"), (10, "\u0301 12")], 1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in languages.predict_languages(docs, model).collect()}
+    assert all(got[i] == (lang, 1.0) for i, (_, lang) in asked.items())
+    assert got[8] == got[10] == ("und", 0.0) and got[9][1] == 1.0
+    spans = [(r.first_byte, r.end_byte, r.lang) for r in languages.language_spans(docs.where("doc_id = 1"), model).collect()]
+    assert spans == [(3, 3 + len(zh.encode()), "zh")]
