@@ -9,7 +9,7 @@ from plotweave.llm._store import cut
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts of which no language covers half."""
+    """Drops texts in which no span of any language is found; if no row has a language to learn from, only texts without letters."""
     return languages.keep_identified(docs, languages.fit(docs))
 
 

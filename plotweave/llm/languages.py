@@ -270,17 +270,21 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose text has a language that covers at least `least` of what tells anything; all columns as they are.
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a span in any language, of however many; all columns as they are.
 
-    Null texts and texts without letters go. One narrow pass, so repeated and null ids don't matter.
+    Only null texts and texts without a letter of a script in SCRIPTS go. A model that has learned
+    no language can't label spans: then every text with a letter of any script stays. One narrow
+    pass, so repeated and null ids don't matter.
     """
+    if not model.languages:
+        return docs.where(F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)))
     at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            names, share = model.predict(b.column(at))
-            yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, share)], pa.bool_()))
+            names, _ = model.predict(b.column(at))
+            yield b.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

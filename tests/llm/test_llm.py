@@ -491,3 +491,17 @@ def test_leading_marks_and_mixed_words_keep_their_script(spark):
     assert got[8] == got[10] == ("und", 0.0) and got[9][1] == 1.0
     spans = [(r.first_byte, r.end_byte, r.lang) for r in languages.language_spans(docs.where("doc_id = 1"), model).collect()]
     assert spans == [(3, 3 + len(zh.encode()), "zh")]
+
+
+def test_mixed_and_unlearned_texts_stay(spark):
+    en, ru, el = "the cat sat on the mat and saw the rat", "кошка сидела на коврике и видела крысу", "η γάτα κάθισε στο χαλί και είδε"
+    rows = [(i, [en, ru, el][i % 3], ["en", "ru", "el"][i % 3]) for i in range(30)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = table(spark, [(1, " ".join([en, ru[:37], el])), (2, "12 … 34"), (3, None), (4, ""), (5, ru), (None, en), (5, ru)], 1)
+    mixed = languages.predict_languages(asked.where("doc_id = 1"), model).first()
+    assert 0 < mixed.score < 0.5
+    unlearned = languages.fit(asked.withColumn("lang", F.lit(None).cast("string")))
+    assert unlearned.languages == []
+    for m in (model, unlearned):
+        kept = languages.keep_identified(asked, m)
+        assert kept.columns == asked.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 5, 5]
