@@ -371,6 +371,12 @@ def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.intersecting_pairs(asked, synth.rect_part(spark, sf_dir), 400_000_000)
 
 
+@_query(f"WITH {_LINE_BOUNDS}, {_PART} SELECT lb.id AS left_id, count(pa.id) AS n FROM lb LEFT JOIN pa ON lb.max_lng >= pa.min_lng AND lb.max_lat >= pa.min_lat AND lb.min_lng <= pa.max_lng AND lb.min_lat <= pa.max_lat GROUP BY lb.id")
+def bbox_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's line against all rectangles: how many it meets, as the pairs are too many to return (an extension)."""
+    return select.intersecting_counts(synth.line_order(spark, sf_dir), synth.rect_part(spark, sf_dir))
+
+
 # Applications, conversion and inspection
 
 

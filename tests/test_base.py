@@ -192,3 +192,13 @@ def test_intersecting_pairs_equal_brute_force(spark):
     want = {(a.feature_id, b.feature_id) for a in rows for b in rows if a.max_lng >= b.min_lng and a.max_lat >= b.min_lat and a.min_lng <= b.max_lng and a.min_lat <= b.max_lat}
     got = select.intersecting_pairs(f, f, 16).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_intersecting_counts_cover_every_row(spark):
+    f = spark.range(60).select(F.col("id").alias("feature_id"), *(F.expr(f"if(id = 7, null, {e})").cast("int").alias(n) for n, e in zip(bounds.NAMES, ("(id * 37) % 100", "(id * 53) % 100", "(id * 37) % 100 + id % 20", "(id * 53) % 100 + id % 15"))))
+    rows = [a for a in f.collect() if a.min_lng is not None]
+    want = {a.feature_id: sum(a.max_lng >= b.min_lng and a.max_lat >= b.min_lat and a.min_lng <= b.max_lng and a.min_lat <= b.max_lat for b in rows) for a in rows} | {7: 0}
+    for left_block, right_block in ((1000, 1000), (17, 23)):
+        got = select.intersecting_counts(f, f, left_block, right_block).collect()
+        assert len(got) == 60 and {r.left_id: r.n for r in got} == want
+    assert {r.n for r in select.intersecting_counts(f, f.limit(0)).collect()} == {0}
