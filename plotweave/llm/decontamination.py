@@ -33,8 +33,8 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def test_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, no, words): the items that have an id and words, numbered, and stored so that the numbers stay."""
-    w = items.select(items[id_col].cast("string").alias("item_id"), terms(items[text_col]).alias("words")).where("item_id is not null and size(words) > 0")
+    """(item_id, no, words): the items that have words, numbered, and stored so that the numbers stay."""
+    w = items.select(items[id_col].cast("string").alias("item_id"), terms(items[text_col]).alias("words")).where("size(words) > 0")
     return cut(w.withColumn("no", F.monotonically_increasing_id()))
 
 
@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A word is hit if it lies inside an occurrence of any item's window. Rows are
     counted one by one, so repeated rows repeat; null ids stay null; a null or
     empty text has no words and no hits; without items nothing is hit; an empty
-    table gives no row. Other columns are not read.
+    table gives no row. Items without an id hit words like others; together they
+    count as one in n_items, and items_sha256 leaves them out. Other columns are not read.
     """
     found = _found(docs, test_items(items, item_id_col, item_text_col), id_col, text_col, size)
     hit = F.size(F.array_distinct(F.flatten(F.transform("matches", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
@@ -151,7 +152,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 10) -> DataFrame:
-    """The rows without any occurrence of an item's window, with all their columns as they are."""
+    """The rows without any occurrence of an item's window (the item's id may be null), with all their columns as they are."""
     columns = tuple(docs.columns)
     found = _found(docs, test_items(items, item_id_col, item_text_col), id_col, text_col, size, columns)
     return found.where(F.size("matches") == 0).select(*(F.col("row")[c].alias(c) for c in columns))

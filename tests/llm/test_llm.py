@@ -353,6 +353,22 @@ def test_contamination(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_items_without_an_id_hit(spark):
+    import duckdb
+
+    long = " ".join(f"w{k}" for k in range(14))
+    items = spark.createDataFrame([(None, long), (None, "x1 x2"), (None, None), (None, "..!"), (4, "y1 y2 y3"), (5, "x2")], "item_id long, text string")
+    docs = table(spark, [(1, "a b " + long), (2, "x1 x2 y1 y2 y3"), (3, "x1 y1 y2"), (4, "y1 y2 y3"), (5, None), (6, "x1 x2 " + long)])
+    got = decontamination.contamination(docs, items)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", items.toArrow())
+    want = con.sql(queries.OP8_SQL).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [r.doc_id for r in got.where("contaminated").orderBy("doc_id").collect()] == [1, 2, 4, 6]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(docs, items).collect()) == [3, 5]
+
+
 def test_proximity(spark):
     docs = table(spark, [(1, "a x c b y"), (2, "a b c"), (3, "a x x x x x x x x b c")])
     phrases = spark.createDataFrame([(5, ["a", "b", "c"])], "no long, phrase array<string>")
