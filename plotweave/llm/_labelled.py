@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._worker import lean
+
 
 def held_out(id_col: Column, modulus: int, rest: int) -> Column:
     """crc32 of the id as text leaves `rest`; false for a null id."""
@@ -29,7 +31,10 @@ def class_samples(labels: DataFrame, id_col: str, label_col: str, most: int) ->
 
 
 def sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, make: Callable[[pa.Array], list[bytes]]) -> list[tuple[int, bytes]]:
-    """(label, features) of the sampled documents; `sample` is bounded by class_samples and so can be broadcast."""
+    """(label, features) of the sampled documents, one for each id (of several texts the one with the least hash).
+
+    `sample` is bounded by class_samples, and so are its broadcast and what is collected.
+    """
 
     def run(batches):
         for b in batches:
@@ -37,12 +42,11 @@ def sampled_features(docs: DataFrame, sample: DataFrame, id_col: str, text_col:
 
     id_type = docs.schema[id_col].dataType.simpleString()
     d = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).where("_id is not null")
-    got = d.join(F.broadcast(sample), "_id").select("_id", "_y", "_text").mapInArrow(run, f"_id {id_type}, _y int, x binary")
-    seen = {}
-    for r in got.collect():
-        key = (r["_id"], bytes(r["x"]))
-        seen[key] = (r["_y"], key[1])
-    return [seen[k] for k in sorted(seen)]
+    d = d.join(F.broadcast(sample), "_id").withColumn("_text", F.coalesce("_text", F.lit("")))
+    # an id's text is settled before rows reach the driver: one for each sampled id, however often the id repeats
+    d = d.groupBy("_id").agg(F.first("_y").alias("_y"), F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    got = d.select("_id", "_y", "_text").mapInArrow(lean(run), f"_id {id_type}, _y int, x binary")
+    return [(r["_y"], bytes(r["x"])) for r in sorted(got.collect(), key=lambda r: r["_id"])]
 
 
 def scored(docs: DataFrame, id_col: str, text_col: str, score: Callable[[pa.Array], "object"]) -> DataFrame:
@@ -53,4 +57,4 @@ def scored(docs: DataFrame, id_col: str, text_col: str, score: Callable[[pa.Arra
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1)), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"doc_id {kind}, score double")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._columns import LOWER, NON_SPACE, mix, slices, text_buffers, words
 from ._store import cut
+from ._worker import lean
 
 #: Frequencies are tracked for n-grams in at least this share of documents and for words of at least this share.
 FREQUENT, COMMON = 1e-3, 2.0**-17
@@ -122,7 +123,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
             if parts:
                 yield counted(parts, n_docs)
 
-    sums = cut(docs.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    sums = cut(docs.mapInArrow(lean(run), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r["n"] for r in sums.where("kind >= 2").collect()}
     n_docs, n_words = total.get(2, 0), total.get(3, 0)
     kept = sums.where(((F.col("kind") == 0) & (F.col("n") >= max(2.0, FREQUENT * n_docs))) | ((F.col("kind") == 1) & (F.col("n") >= max(1.0, COMMON * n_words))))
@@ -163,14 +164,13 @@ def _publish(docs: DataFrame, n: int, percent: int, tables) -> DataFrame:
     grams, gram_df, common, word_n, n_words = tables
 
     def run(batches):
+        names = [x.split()[0] for x in _ROW.split(", ")]
+        join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
         for b in batches:
             seen: set[int] = set()
-            out = [[] for _ in range(3)]
-            rows, sizes, nodes, parity = [], [], [], []
             for i, j, s in _sliced(b, n):
                 node, size = s.nodes(), np.diff(s.first)
-                nodes.append(node), sizes.append(size)
-                parity += [r.tobytes() for r in np.packbits(s.parities(), axis=1)]
+                out = [[] for _ in range(3)]
                 rare = np.log(_look(common, word_n, s.words, 0.5) / n_words).astype(np.float32)
                 chance = np.zeros(len(s.token), np.float32)
                 for k in range(n):
@@ -190,16 +190,14 @@ def _publish(docs: DataFrame, n: int, percent: int, tables) -> DataFrame:
                     out[0].append(token[a : a + p])
                     out[1].append(np.full(p, node[d]))
                     out[2].append((np.arange(p) << 40) | (int(z - a) << 8) | m)
-            join = lambda x, t: np.concatenate([np.zeros(0, t), *x])
-            tok, nod, aux = join(out[0], np.uint64), join(out[1], np.uint64), join(out[2], np.int64)
-            k = len(tok)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), pa.array(tok.view(np.int64)), pa.array(nod.view(np.int64)), pa.array(aux), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=[x.split()[0] for x in _ROW.split(", ")])
-            nod, size = join(nodes, np.uint64), join(sizes, np.int64)
-            k = b.num_rows
-            spread = mix(nod + np.arange(k, dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.array(spread), pa.array(nod.view(np.int64)), b.column(2), b.column(0), pa.array(size), pa.array(parity, pa.binary())], names=[x.split()[0] for x in _ROW.split(", ")])
+                tok, nod, aux = join(out[0], np.uint64), join(out[1], np.uint64), join(out[2], np.int64)
+                k = len(tok)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), pa.array(tok.view(np.int64)), pa.array(nod.view(np.int64)), pa.array(aux), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
+                spread = mix(node + np.arange(i, j, dtype=np.uint64)).view(np.int64)
+                parity = [r.tobytes() for r in np.packbits(s.parities(), axis=1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(j - i, np.int8)), pa.array(spread), pa.array(node.view(np.int64)), b.column(2).slice(i, j - i), b.column(0).slice(i, j - i), pa.array(size), pa.array(parity, pa.binary())], names=names)
 
-    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(run, _ROW)
+    return docs.withColumn("row", F.xxhash64("text")).mapInArrow(lean(run), _ROW)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -241,7 +239,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             if len(nodes) > 1:
                 yield held
 
-    return rows.repartition("key").sortWithinPartitions("kind", "key", "node").mapInArrow(run, _ROW)
+    return rows.repartition("key").sortWithinPartitions("kind", "key", "node").mapInArrow(lean(run), _ROW)
 
 
 def _fits(a_aux, b_aux, percent: int) -> np.ndarray:
@@ -279,7 +277,7 @@ def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
             yield _pairs(node[on], h_node[on], aux[on], h_aux[on])
             hub = (key[-1], h_node[-1], h_aux[-1])
 
-    return lists.select("key", "node", "aux").repartition("key").sortWithinPartitions("key", "aux", "node").mapInArrow(run, _PAIR)
+    return lists.select("key", "node", "aux").repartition("key").sortWithinPartitions("key", "aux", "node").mapInArrow(lean(run), _PAIR)
 
 
 def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +320,7 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, _PAIR)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), _PAIR)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -335,18 +333,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     def sets(batches):
         for b in batches:
-            seen, ids, out = set(), [], []
+            seen = set()
             node = b.column(0).to_numpy()
             for i, _, s in _sliced(b, n):
-                found = s.nodes().view(np.int64)
+                found, ids, out = s.nodes().view(np.int64), [], []
                 for d in range(len(found)):
                     if node[i + d] == found[d] and found[d] not in seen:
                         seen.add(found[d])
                         ids.append(int(found[d]))
                         out.append(s.token[s.first[d] : s.first[d + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["node", "tokens"])
 
-    tokens = texts.join(wanted, "_row").select("node", "text").mapInArrow(sets, "node long, tokens binary")
+    tokens = texts.join(wanted, "_row").select("node", "text").mapInArrow(lean(sets), "node long, tokens binary")
     tokens = cut(tokens.groupBy("node").agg(F.first("tokens").alias("tokens")))
 
     def verify(batches):
@@ -360,7 +358,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("_y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(verify, "a long, b long"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(lean(verify), "a long, b long"))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:

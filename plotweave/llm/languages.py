@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._columns import LOWER, Words, runs, slices, text_buffers, words
 from ._labelled import held_out
+from ._worker import lean
 
 GRAM_BITS = 16
 BLOCK = 512
@@ -91,11 +92,24 @@ def _grams(w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (g * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS), np.concatenate([[0], np.cumsum(w.end - w.start)])
 
 
-def _split(column: pa.Array, most: int):
-    raw, offsets = text_buffers(column)
-    for i, j in slices(offsets, most):
-        part, at = _scripted(LOWER[raw[offsets[i] : offsets[j]]]), offsets[i : j + 1] - offsets[i]
-        yield i, j, words(part, at, _IN_WORD), at
+#: A text over this many bytes is decoded in pieces of about as many.
+PIECE = 1 << 20
+
+
+def _piece_ends(text: np.ndarray, most: int) -> list[int]:
+    """Where a long text is cut: behind the last byte of each `most` that is in no word, or else between two characters."""
+    at = [0]
+    while len(text) - at[-1] > most:
+        part = text[at[-1] : at[-1] + most]
+        out = np.flatnonzero(~_IN_WORD[part])
+        if not len(out):
+            out = np.flatnonzero((text[at[-1] + 1 : at[-1] + most + 1] & 0xC0) != 0x80)
+        at.append(at[-1] + int(out[-1]) + 1)
+    return [*at, len(text)]
+
+
+def _prepared(part: np.ndarray, at: np.ndarray) -> Words:
+    return words(_scripted(LOWER[part]), at, _IN_WORD)
 
 
 @dataclass
@@ -107,8 +121,14 @@ class Model:
     clip: float = 6.0
 
     def slice_bytes(self) -> int:
-        """Text decoded at a time: decoding takes a byte for each word and pair of languages."""
-        return max(1 << 16, (32 << 20) // max(len(self.languages), 4) ** 2)
+        """Text decoded at a time: scores and back pointers take some bytes for each word and language (or pair of languages, if few)."""
+        many = max(len(self.languages), 4)
+        return max(1 << 12, min(2 * PIECE, (32 << 20) // (many * self._entries(many))))
+
+    @staticmethod
+    def _entries(many: int) -> int:
+        """Few languages: blocks are decoded side by side for each language that they may be entered with. Many: documents are, word by word."""
+        return many if many <= 8 else 1
 
     def word_scores(self, w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores by word and language, and which words tell anything."""
@@ -122,62 +142,110 @@ class Model:
         return out + np.where(self.candidate[script], 0, -4 * self.clip).astype(np.float32), script > 0
 
     def decode(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The best language of each word: most score less `penalty` for each switch within a document.
+        """The best language of each word: most score less `penalty` for each switch within a document."""
+        n_docs = len(first) - 1
+        return self.path(score, first, np.zeros((n_docs, score.shape[1]), np.float32))[0]
+
+    def path(self, score: np.ndarray, first: np.ndarray, total: np.ndarray, last: np.ndarray | None = None, back_too: bool = True) -> tuple[np.ndarray | None, np.ndarray, np.ndarray | None]:
+        """Labels, gains at the end by language, and the languages that documents were entered with.
 
-        Documents are decoded side by side. Long ones fall into blocks, each
-        decoded for every language that it may be entered with; the blocks'
+        total: gains at the start by document and language (what came before a piece of a
+        text); last: the languages to end with, or those of most gain. Documents
+        are decoded side by side. With few languages long ones fall into blocks, each
+        decoded for every language that it may be entered with, and the blocks'
         gains are then chained, so the labels are the best over the whole document.
         """
         n_docs, many = len(first) - 1, score.shape[1]
+        entries = self._entries(many)
         n = np.diff(first)
-        if not len(score):
-            return np.zeros(0, np.int64)
-        blocks = -(-n // BLOCK)
+        total = total.copy()
+        blocks = -(-n // BLOCK) if entries == many else np.minimum(n, 1)
         doc = np.repeat(np.arange(n_docs), blocks)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         start = first[doc] + k * BLOCK
-        size = np.minimum(n[doc] - k * BLOCK, BLOCK)
+        size = np.minimum(n[doc] - k * BLOCK, BLOCK) if entries == many else n[doc]
         order = np.argsort(-size, kind="stable")
         start_o, size_o = start[order], size[order]
-        gain = np.broadcast_to(np.where(np.eye(many, dtype=bool), 0, -np.inf).astype(np.float32), (len(doc), many, many)).copy()
-        back = np.zeros((len(score), many, many), np.int8)
-        for t in range(int(size_o[0])):
+        if entries == many:
+            gain = np.broadcast_to(np.where(np.eye(many, dtype=bool), 0, -np.inf).astype(np.float32), (len(doc), many, many)).copy()
+        else:
+            gain = total[doc[order]][:, None, :]
+        kind = np.int8 if many < 128 else np.int16
+        back = np.zeros((len(score), entries, many), kind) if back_too else None
+        for t in range(int(size_o[0]) if len(doc) else 0):
             m = int(np.searchsorted(-size_o, -t, "left"))
             g = gain[:m]
             top, arg = g.max(2), g.argmax(2)
             switch = (top - self.penalty)[:, :, None] > g
             at = start_o[:m] + t
-            back[at] = np.where(switch, arg[:, :, None], np.arange(many))
+            if back_too:
+                back[at] = np.where(switch, arg[:, :, None], np.arange(many))
             gain[:m] = np.where(switch, (top - self.penalty)[:, :, None], g) + score[at][:, None, :]
         whole = np.empty_like(gain)
         whole[order] = gain
-        leave = np.zeros(len(doc), np.int64)
-        enter = np.zeros(len(doc), np.int64)
         at0 = np.cumsum(blocks) - blocks
-        total = np.zeros((n_docs, many), np.float32)
-        came = np.zeros((len(doc), many), np.int8)
-        for step in range(int(blocks.max())):
+        most = int(blocks.max()) if n_docs else 0
+        came = np.zeros((len(doc), many), kind)
+        for step in range(most):
             on = np.flatnonzero(blocks > step)
             b = at0[on] + step
-            # the first word may be entered with any language at no cost
-            path = total[on][:, :, None] + whole[b]
-            came[b] = path.argmax(1)
-            total[on] = path.max(1)
-        last = total.argmax(1)
-        for step in range(int(blocks.max()) - 1, -1, -1):
+            if entries == 1:
+                total[on] = whole[b, 0]
+                continue
+            # the first word may be entered with any language at the cost of what came before
+            way = total[on][:, :, None] + whole[b]
+            came[b] = way.argmax(1)
+            total[on] = way.max(1)
+        if not back_too:
+            return None, total, None
+        last = total.argmax(1) if last is None else last.copy()
+        leave, enter = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+        for step in range(most - 1, -1, -1):
             on = np.flatnonzero(blocks > step)
             b = at0[on] + step
             leave[b] = last[on]
             enter[b] = came[b, last[on]]
             last[on] = enter[b]
         out = np.zeros(len(score), np.int64)
-        state, entered = leave[order], enter[order]
-        for t in range(int(size_o[0]) - 1, -1, -1):
+        state, entered = leave[order], enter[order] if entries == many else np.zeros(len(doc), np.int64)
+        for t in range(int(size_o[0]) - 1 if len(doc) else -1, -1, -1):
             m = int(np.searchsorted(-size_o, -t, "left"))
             at = start_o[:m] + t
             out[at] = state[:m]
             state[:m] = back[at, entered[:m], state[:m]]
-        return out
+        if entries == 1:
+            last[doc[order]] = state
+        return out, total, last
+
+    def decoded(self, column: pa.Array):
+        """(first document, end, words, their documents' offsets, labels, which words tell anything, bytes before) of each slice.
+
+        A text over PIECE bytes comes alone and in pieces, the last one first: the way to its end is
+        weighed piece by piece, keeping one gain for each language between pieces, and then
+        traced back, each piece's words scored once more. So memory doesn't grow with a text.
+        """
+        raw, offsets = text_buffers(column)
+        most = self.slice_bytes()
+        for i, j in slices(offsets, most):
+            part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if j - i > 1 or len(part) <= most:
+                w = _prepared(part, at)
+                score, tells = self.word_scores(w, at)
+                yield i, j, w, at, self.decode(score, w.first), tells, 0
+                continue
+            ends = _piece_ends(part, min(most, PIECE))
+            total, totals, last = np.zeros((1, len(self.languages)), np.float32), [], None
+            for a, z in zip(ends, ends[1:]):
+                totals.append(total)
+                w = _prepared(part[a:z], np.array([0, z - a]))
+                score, _ = self.word_scores(w, np.array([0, z - a]))
+                _, total, _ = self.path(score, w.first, total, back_too=False)
+            for k in range(len(totals) - 1, -1, -1):
+                a, z = ends[k], ends[k + 1]
+                w = _prepared(part[a:z], np.array([0, z - a]))
+                score, tells = self.word_scores(w, np.array([0, z - a]))
+                label, _, last = self.path(score, w.first, totals[k], last)
+                yield i, j, w, np.array([0, z - a]), label, tells, a
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language with the most bytes in each document, and its share of the bytes that tell anything."""
@@ -185,35 +253,37 @@ class Model:
         if not self.languages:
             return names, share
         many = len(self.languages)
-        for i, j, w, at in _split(column, self.slice_bytes()):
-            score, tells = self.word_scores(w, at)
-            label = self.decode(score, w.first)
+        mass, has, ascii_letter = np.zeros((len(column), many)), np.zeros(len(column), bool), np.zeros(len(column), bool)
+        for i, j, w, _, label, tells, _ in self.decoded(column):
             doc = w.doc()
             size = np.where(tells, w.end - w.start, 1e-6)
-            mass = np.bincount(doc * many + label, weights=size, minlength=(j - i) * many).reshape(-1, many)
-            best = mass.argmax(1)
-            has = np.zeros(j - i, bool)
-            has[doc[tells]] = True
-            ascii_letter = np.bincount(doc, weights=w.raw[w.start] < 128, minlength=j - i) > 0
-            for d in np.flatnonzero(has & ~ascii_letter):
-                has[d] = any(c.isalpha() for c in (column[i + int(d)].as_py() or ""))
-            for d in np.flatnonzero(has):
-                names[i + int(d)] = self.languages[best[d]]
-                share[i + d] = mass[d, best[d]] / mass[d].sum()
+            mass[i:j] += np.bincount(doc * many + label, weights=size, minlength=(j - i) * many).reshape(-1, many)
+            has[i + doc[tells]] = True
+            ascii_letter[i + doc[w.raw[w.start] < 128]] = True
+        best = mass.argmax(1)
+        for d in np.flatnonzero(has & ~ascii_letter).tolist():
+            has[d] = any(c.isalpha() for c in (column[d].as_py() or ""))
+        for d in np.flatnonzero(has).tolist():
+            names[d] = self.languages[best[d]]
+            share[d] = mass[d, best[d]] / mass[d].sum()
         return names, share
 
     def spans(self, column: pa.Array):
         """(document, first byte, end byte, language) of each run of words with one language."""
-        for i, _, w, at in _split(column, self.slice_bytes()):
-            score, _ = self.word_scores(w, at)
-            label, doc = self.decode(score, w.first), w.doc()
-            if not len(label):
-                continue
-            new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
-            end = np.concatenate([new[1:], [len(label)]]) - 1
-            for a, b in zip(new, end):
-                base = at[doc[a]]
-                yield i + int(doc[a]), int(w.start[a] - base), int(w.end[b] - base), self.languages[label[a]]
+        later: list[tuple[int, int, int, int]] = []  # of the pieces of one text behind the one at hand
+        for i, _, w, at, label, _, before in self.decoded(column):
+            doc, found = w.doc(), []
+            if len(label):
+                new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]))
+                end = np.concatenate([new[1:], [len(label)]]) - 1
+                base = at[doc[new]] - before
+                found = list(zip((i + doc[new]).tolist(), (w.start[new] - base).tolist(), (w.end[end] - base).tolist(), label[new].tolist()))
+            if found and later and found[-1][0] == later[0][0] and found[-1][3] == later[0][3]:
+                later[0] = (*found.pop()[:2], *later[0][2:])
+            later = found + later
+            if not before:
+                yield from ((d, a, z, self.languages[x]) for d, a, z, x in later)
+                later = []
 
 
 def _counts(batches):
@@ -246,7 +316,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], np.zeros((1 << GRAM_BITS, 0)), np.zeros((len(NAMES), 0), bool), **settings)
     limit = docs.sparkSession.createDataFrame([(k, min(per_language / n, 1.0)) for k, n in size.items()], "_l string, _p double")
     d = d.join(F.broadcast(limit), F.col("lang") == F.col("_l")).where(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) < F.col("_p") * 1_000_003)
-    got = d.select("lang", "_t").mapInArrow(_counts, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    got = d.select("lang", "_t").mapInArrow(lean(_counts), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())
     n = np.zeros(((1 << GRAM_BITS) + len(NAMES), len(languages)))
     n[got["gram"].to_numpy(), np.searchsorted(np.array(languages, object), got["lang"].to_numpy(object))] = got["n"]
@@ -267,7 +337,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -286,7 +356,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             names, _ = model.predict(b.column(at))
             yield b.filter(pa.array([n != "und" for n in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,7 +370,7 @@ def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             ids = b.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string())))], names=["doc_id", "first_byte", "end_byte", "lang"])
 
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, rest: int = 2, per_language: int = 600) -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens
+from ._store import cut
+from ._worker import lean
 
 #: Distinct lengths per block of the two-level suffix sums.
 BLOCK = 4096
@@ -21,7 +23,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", tokenizer_path: str |
             n = [np.diff(at) for _, _, at in tokens.encoded(batch.column(0), path)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *n]), pa.int64())], names=["n_tokens"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "n_tokens long")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(lean(run), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFrame:
@@ -39,9 +41,10 @@ def context_totals(histogram: DataFrame) -> DataFrame:
     documents that are not longer). Between two lengths that occur the answers
     follow from the shorter one's row: tokens_truncated grows by docs_longer for
     each token of limit. Sums run within blocks of lengths and over the
-    blocks' totals, so no task gets all lengths. An empty histogram gives no row.
+    blocks' totals, so no task gets all lengths. The histogram is stored first, as it is
+    read twice. An empty histogram gives no row.
     """
-    h = histogram.withColumn("_block", F.expr(f"n_tokens div {BLOCK}"))
+    h = cut(histogram).withColumn("_block", F.expr(f"n_tokens div {BLOCK}"))
     blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_t"))
     later = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

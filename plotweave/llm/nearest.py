@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._store import cut
+from ._worker import lean
 
 #: Rows and queries that meet in one task.
 GROUP_ROWS, GROUP_QUERIES = 8192, 1024
@@ -73,7 +74,7 @@ def index(rows: DataFrame, model: Rotation) -> DataFrame:
             bits, norm, kept = model.encode(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(norm), pa.array(kept)], names=["vec_id", "v", "bits", "norm", "kept"])
 
-    return rows.where(F.size("v") == d).mapInArrow(run, "vec_id long, v array<double>, bits binary, norm double, kept double")
+    return rows.where(F.size("v") == d).mapInArrow(lean(run), "vec_id long, v array<double>, bits binary, norm double, kept double")
 
 
 def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:

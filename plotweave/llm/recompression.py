@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import repeats
 from ._columns import SLICE_BYTES, mix, slices, text_buffers, words
 from ._store import cut, release
+from ._worker import lean
 
 ROUNDS = 3
 
@@ -117,6 +118,7 @@ def _compare(size: int):
     """Single windows of the stretches that go on, as stretches of one window."""
 
     def run(batches):
+        met = repeats.Met()
         for b in batches:
             doc, part = b.column(0).to_numpy(), b.column(1).to_numpy()
             raw, offsets = text_buffers(b.column(2))
@@ -127,7 +129,7 @@ def _compare(size: int):
                 d = np.repeat(d, n)
                 s = at + w.first[d]
                 h1, h2 = repeats.RangeHash(w.hashes(1)), repeats.RangeHash(w.hashes(2))
-                yield from repeats.unlike(h1(s, s + size), h2(s, s + size), doc[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART), np.ones(len(at), np.int32))
+                yield from repeats.unlike(h1(s, s + size), h2(s, s + size), doc[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART), np.ones(len(at), np.int32), met)
 
     return run
 
@@ -136,16 +138,17 @@ def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     """(doc, part, ranges): windows that also start earlier, from (doc, part, text)."""
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
     release(d.sparkSession)
-    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").select(*repeats.JOINED).mapInArrow(_compare(size), repeats._STRETCH)
+    again = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner").select(*repeats.JOINED).mapInArrow(lean(_compare(size)), repeats._STRETCH)
     marks = met.where("kind = 1").unionByName(repeats.settle(again, False).where("kind = 1"))
     return repeats.by_document(marks, "ranges")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row, and the columns `carry` as they are.
+    """doc_id, n_words, n_removed, kept_sha256, kept_text of every row; with `carry` also `row`, a struct of those columns as they are.
 
-    kept_sha256 is of the kept words joined by spaces; kept_text is that too, or the
-    text itself where nothing was removed.
+    kept_sha256 is of the kept words joined by spaces; kept_text is that too (so its
+    line breaks are gone), or the text itself where nothing was removed. Carried
+    columns may have any names, as they stay inside their struct.
 
     Removes each word that a window of `size` words covers which also starts
     earlier: in a document with a smaller id, or before in the same one. Windows
@@ -158,7 +161,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for b in batches:
             raw, offsets = text_buffers(b.column("text"))
-            n_words, n_removed, sha, kept = [], [], [], []
             for i, j in slices(offsets):
                 w = words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 gone = repeats.covered(w.first, *repeats.ranges(b.column("ranges"), i, j), size)
@@ -170,18 +172,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 at = np.concatenate([[0], ends])[np.searchsorted(stay, w.first)]
                 whole = text.tobytes()
                 parts = [whole[x : max(y - 1, x)] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                n_words += np.diff(w.first).tolist()
-                n_removed += (np.diff(w.first) - np.diff(np.searchsorted(stay, w.first))).tolist()
-                sha += [hashlib.sha256(p).hexdigest() for p in parts]
+                n_words = np.diff(w.first)
+                n_removed = n_words - np.diff(np.searchsorted(stay, w.first))
+                sha = [hashlib.sha256(p).hexdigest() for p in parts]
                 source = raw[offsets[i] : offsets[j]].tobytes()
                 base = (offsets[i : j + 1] - offsets[i]).tolist()
-                kept += [p if n else source[x:y] for p, n, x, y in zip(parts, n_removed[i:j], base[:-1], base[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), b.column("rest")],
-                names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"],
-            )
+                kept = [p if n else source[x:y] for p, n, x, y in zip(parts, n_removed.tolist(), base[:-1], base[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc").slice(i, j - i), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary()).cast(pa.string()), b.column("rest").slice(i, j - i)],
+                    names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"],
+                )
 
     out = repeats.with_ranges(d, repeated_windows(d, size), "left")
     schema = f"doc long, n_words long, n_removed long, kept_sha256 string, kept_text string, rest {d.schema['rest'].dataType.simpleString()}"
-    done = out.mapInArrow(run, schema)
-    return done.select(F.nullif("doc", F.lit(repeats.NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", *(F.col("rest")[c].alias(c) for c in carry))
+    done = out.mapInArrow(lean(run), schema)
+    row = [F.col("rest").alias("row")] if carry else []
+    return done.select(F.nullif("doc", F.lit(repeats.NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", *row)

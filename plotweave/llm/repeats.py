@@ -6,8 +6,8 @@ equal windows have equal anchors. Consecutive windows with one anchor form a
 stretch; only stretches travel, as (k, c, doc, at, n): hash of the anchor, hash of
 the whole stretch, document, first window, number of windows.
 
-1. Each slice of documents emits its stretches, equal ones once; the others are
-   marked as repeats on the spot.
+1. Each task emits its stretches, equal ones of a slice once, and those that it meets
+   in slice after slice about once (Met); the others are marked as repeats on the spot.
 2. Stretches are dealt and sorted by (k, c, doc, at) and read as a stream: of equal
    stretches all but the first repeat. Anchors with several different stretches go on.
 3. Their windows are compared one by one in the same way (by a scheme's own means).
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._columns import mix, runs, slices, text_buffers
+from ._worker import lean
 
 #: A document's parts (rows that share its id) are told apart in the upper bits of a place.
 PART = 40
@@ -38,24 +39,38 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _P), np.full(n, _INVERSE)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: Powers are a product of two, from tables of this many: a long text needs no longer table.
+_TABLE_BITS = 16
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, ...]:
+    """P^i and P^-i for i below the tables' length, and the same for its multiples."""
+    out, n = [], 1 << _TABLE_BITS
+    for base in (_P, _INVERSE):
+        for step in (int(base), pow(int(base), n, 1 << 64)):
+            table = np.full(n, np.uint64(step))
+            table[0] = 1
+            out.append(np.cumprod(table))
+    return tuple(out)
 
 
 class RangeHash:
     """Hashes of ranges of 64-bit units in constant time each."""
 
     def __init__(self, units: np.ndarray):
-        n = 1 << (len(units) + 1).bit_length()
-        up, self.down = _powers(n)
+        up, far_up, self.down, self.far_down = _powers()
         self.sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(units * up[: len(units)], out=self.sums[1:])
+        for k, at in enumerate(range(0, len(units), len(up))):
+            part = units[at : at + len(up)]
+            np.multiply(part, up[: len(part)] * far_up[k], out=self.sums[at + 1 : at + 1 + len(part)])
+        np.cumsum(self.sums, out=self.sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        down = self.down[start & (len(self.down) - 1)]
+        if len(self.sums) > len(self.down):
+            down = down * self.far_down[start >> _TABLE_BITS]
+        return mix((self.sums[end] - self.sums[start]) * down + (end - start).astype(np.uint64))
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +79,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
     Rows that share an id are parts of one document, in order of a hash of their
     text; matches don't cross parts, and rows with the same id and text are one part.
     """
-    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("rest"))
+    d = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*((docs[c] for c in carry) if carry else [F.lit(0).alias("_")])).alias("rest"))
     keys = d.select("doc", F.xxhash64("text").alias("_k"))
     several = keys.groupBy("doc").agg(F.min("_k").alias("_a"), F.max("_k").alias("_b")).where("_a <> _b").select("doc")
     if several.isEmpty():
@@ -92,15 +107,48 @@ def _joined(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[first], at[first], end - at[first]
 
 
-def unlike(k, c, doc, at, n) -> Iterator[pa.RecordBatch]:
-    """Of equal stretches in a slice the first; the others as marks (kind 1), spread by document."""
+class Met:
+    """Stretches that a task has met in one slice after the other, in a table of fixed size.
+
+    A stretch that stands later than an equal one met before is no news: it repeats, and
+    the one before tells other tasks so. Those met in the last slice keep their cells, so
+    what stands in every slice leaves a task once, not once a slice: one passage in a third of
+    all documents brings about as many rows to its key's task as there are tasks.
+    """
+
+    CELLS = 1 << 16
+
+    def __init__(self):
+        self.k, self.c = np.zeros(self.CELLS, np.uint64), np.zeros(self.CELLS, np.uint64)
+        self.doc, self.at = np.zeros(self.CELLS, np.int64), np.zeros(self.CELLS, np.int64)
+        self.used, self.hot = np.zeros(self.CELLS, bool), np.zeros(self.CELLS, bool)
+
+    def later(self, k, c, doc, at) -> np.ndarray:
+        """Which of a slice's stretches, no two of them equal, stand later than an equal one met before; meets the others."""
+        cell = ((k ^ (c >> np.uint64(7))) & np.uint64(self.CELLS - 1)).astype(np.int64)
+        known = self.used[cell] & (self.k[cell] == k) & (self.c[cell] == c)
+        late = known & ((doc > self.doc[cell]) | ((doc == self.doc[cell]) & (at >= self.at[cell])))
+        again = late & ((doc != self.doc[cell]) | (at != self.at[cell]))
+        put = np.flatnonzero(~late & (known | ~self.hot[cell]))
+        x = cell[put]
+        self.k[x], self.c[x], self.doc[x], self.at[x], self.used[x] = k[put], c[put], doc[put], at[put], True
+        self.hot[:] = False
+        self.hot[cell[known]] = True
+        return again
+
+
+def unlike(k, c, doc, at, n, met: Met) -> Iterator[pa.RecordBatch]:
+    """Of equal stretches in a slice the first, unless an earlier one was met before; the others as marks (kind 1), spread by document."""
     order = np.lexsort((at, doc, c, k))
     k, c, doc, at, n = k[order], c[order], doc[order], at[order], n[order]
     same = np.zeros(len(k), bool)
     same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
-    yield _records(0, k[~same], c[~same], doc[~same], at[~same], n[~same])
     first = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
     again = same & ((doc != doc[first]) | (at != at[first]))
+    one = np.flatnonzero(~same)
+    again[one] = met.later(k[one], c[one], doc[one], at[one])
+    one = one[~again[one]]
+    yield _records(0, k[one], c[one], doc[one], at[one], n[one])
     if again.any():
         d, a, m = _joined(doc[again], at[again], n[again])
         h = mix(d.view(np.uint64))
@@ -153,19 +201,21 @@ def stretches(docs: DataFrame, scheme: Callable) -> DataFrame:
     """scheme(raw, offsets) -> k, c, document, first window, windows of each stretch of a slice."""
 
     def run(batches):
+        met = Met()
+
         def make(raw, offsets, doc, base, i, j):
             k, c, d, at, n = scheme(raw, offsets)
-            yield from unlike(k, c, doc[d], at + base[d], n)
+            yield from unlike(k, c, doc[d], at + base[d], n, met)
 
         for b in batches:
             yield from _in_slices(b, make)
 
-    return docs.select("doc", "part", "text").mapInArrow(run, _STRETCH)
+    return docs.select("doc", "part", "text").mapInArrow(lean(run), _STRETCH)
 
 
 def settle(rows: DataFrame, go_on: bool) -> DataFrame:
     dealt = rows.repartition("k").sortWithinPartitions("k", "c", "doc", "at")
-    return dealt.mapInArrow(lambda batches: settled(batches, go_on), _STRETCH)
+    return dealt.mapInArrow(lean(lambda batches: settled(batches, go_on)), _STRETCH)
 
 
 def by_document(rows: DataFrame, name: str) -> DataFrame:

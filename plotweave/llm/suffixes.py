@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import repeats
 from ._columns import SLICE_BYTES, mix, runs, slices, text_buffers
 from ._store import cut, release
+from ._worker import lean
 
 GRAM = 32
 #: Bytes of a suffix that are sorted beyond the window's size.
@@ -81,6 +82,7 @@ def _refined(size: int):
     gram = _long_gram(size)
 
     def run(batches):
+        met = repeats.Met()
         for b in batches:
             ids, part = b.column(0).to_numpy(), b.column(1).to_numpy()
             raw, offsets = text_buffers(b.column(2))
@@ -89,7 +91,7 @@ def _refined(size: int):
                 d, a, n = repeats.ranges(b.column(3), i, j)
                 s = np.sort(repeats.runs(a + at0[d], n))
                 k, c, d, at, n = _anchored(text, at0, s, np.searchsorted(at0, s, "right") - 1, size, gram)
-                yield from repeats.unlike(k, c, ids[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART), n)
+                yield from repeats.unlike(k, c, ids[i:j][d], at + (part[i:j][d].astype(np.int64) << repeats.PART), n, met)
 
     return run
 
@@ -287,15 +289,15 @@ def _prepare_suffixes(d: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     met = cut(repeats.settle(repeats.stretches(d, scheme(size)), True))
     release(d.sparkSession)
     rough = repeats.with_ranges(d, repeats.by_document(met.where("kind = 2"), "ranges"), "inner")
-    fine = repeats.settle(rough.select(*repeats.JOINED).mapInArrow(_refined(size), repeats._STRETCH), True)
+    fine = repeats.settle(rough.select(*repeats.JOINED).mapInArrow(lean(_refined(size)), repeats._STRETCH), True)
     again = repeats.with_ranges(d, repeats.by_document(fine.where("kind = 2"), "ranges"), "inner")
-    return met.where("kind = 1").unionByName(fine.where("kind = 1")), again.select(*repeats.JOINED).mapInArrow(_suffixes(size), _SUFFIX)
+    return met.where("kind = 1").unionByName(fine.where("kind = 1")), again.select(*repeats.JOINED).mapInArrow(lean(_suffixes(size)), _SUFFIX)
 
 
 def repeated_windows(d: DataFrame, size: int) -> DataFrame:
     """(doc, part, ranges): windows that also start earlier, from (doc, part, text)."""
     met, suffixes = _prepare_suffixes(d, size)
-    marks = _sorted_suffixes(suffixes).mapInArrow(_scan(size, False), repeats._STRETCH)
+    marks = _sorted_suffixes(suffixes).mapInArrow(lean(_scan(size, False)), repeats._STRETCH)
     return repeats.by_document(met.unionByName(marks.where("kind = 1")), "ranges")
 
 
@@ -337,18 +339,18 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = repeats.prepared(docs, id_col, text_col).dropDuplicates(["doc", "part"])
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.octet_length("text") - size + 1).alias("n")))
-    every = d.where(F.octet_length("text") >= size).select("doc", "part", "text", whole.alias("ranges")).mapInArrow(_suffixes(size, True), _SUFFIX)
+    every = d.where(F.octet_length("text") >= size).select("doc", "part", "text", whole.alias("ranges")).mapInArrow(lean(_suffixes(size, True)), _SUFFIX)
     done = size + BEYOND
-    rows = cut(_sorted_suffixes(every).mapInArrow(_scan(size, True, done), repeats._STRETCH))
+    rows = cut(_sorted_suffixes(every).mapInArrow(lean(_scan(size, True, done)), repeats._STRETCH))
     found = rows.where("kind = 3")
     part = F.shiftright("at", repeats.PART).cast("int")
     place = F.col("at").bitwiseAND(F.lit((1 << repeats.PART) - 1))
     while not (equal := rows.where("kind = 4")).isEmpty():
         more = min(done, FURTHER)
         places = equal.select("doc", part.alias("part"), F.struct(place.alias("a"), "k", "c").alias("_s")).groupBy("doc", "part").agg(F.collect_list("_s").alias("places"))
-        on = repeats.with_ranges(d, places, "inner").select("doc", "part", "text", "places").mapInArrow(_suffixes_further(done, more), _FURTHER)
+        on = repeats.with_ranges(d, places, "inner").select("doc", "part", "text", "places").mapInArrow(lean(_suffixes_further(done, more)), _FURTHER)
         on = on.repartition("k", "c").sortWithinPartitions("k", "c", "text", "doc", "at")
-        rows = cut(on.mapInArrow(_scan(done, True, done + more, True), repeats._STRETCH))
+        rows = cut(on.mapInArrow(lean(_scan(done, True, done + more, True)), repeats._STRETCH))
         found, done = found.unionByName(rows.where("kind = 3")), done + more
     return found.select(F.col("k").alias("first_doc"), F.col("c").bitwiseAND(F.lit((1 << repeats.PART) - 1)).alias("first_at"), F.col("n").alias("length"), F.col("doc").alias("doc_id"), place.alias("at"))
 
@@ -367,7 +369,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for b in batches:
             raw, offsets = text_buffers(b.column("text"))
-            n_removed, n_spans, sha, kept = [], [], [], []
             for i, j in slices(offsets):
                 text, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 gone = repeats.covered(at, *repeats.ranges(b.column("ranges"), i, j), size)
@@ -376,17 +377,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 edge = at[:-1][np.diff(at) > 0]
                 opens[edge] = gone[edge]
                 sums = np.concatenate([[0], np.cumsum(gone)])[at]
-                n_removed += np.diff(sums).tolist()
-                n_spans += np.diff(np.concatenate([[0], np.cumsum(opens)])[at]).tolist()
+                n_spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[at])
                 whole = text[~gone].tobytes()
                 cuts = at - sums
                 parts = [whole[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                sha += [hashlib.sha256(p).hexdigest() for p in parts]
-                kept += parts
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-                names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-            )
-
-    out = repeats.with_ranges(d, repeated_windows(d, size), "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                sha = [hashlib.sha256(p).hexdigest() for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(np.diff(sums)), pa.array(n_spans), pa.array(sha, pa.string()), pa.array(parts, pa.binary())],
+                    names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                )
+
+    out = repeats.with_ranges(d, repeated_windows(d, size), "left").mapInArrow(lean(run), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.nullif("doc", F.lit(repeats.NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")

@@ -16,8 +16,8 @@ import numpy as np
 
 from ._columns import LOWER, Words, runs, slices, text_buffers
 
-#: Chunks remembered by a Python worker before it starts afresh: bounds memory, not results.
-REMEMBERED = 1_500_000
+#: Bytes of remembered chunks at which a Python worker starts afresh: bounds memory, not results.
+REMEMBERED_BYTES = 24 << 20
 
 _LETTER, _DIGIT, _PUNCTUATION, _OTHER, _SPACE = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -134,7 +134,7 @@ class ChunkIds:
         key, back, inverse = np.unique(h, return_index=True, return_inverse=True)
         if (g != g[back][inverse]).any():
             return self._plain(raw, offsets)
-        if len(self.key) > REMEMBERED:
+        if sum(x.nbytes for x in (self.key, self.check, self.at, self.n, self.ids)) > REMEMBERED_BYTES:
             self.clear()
         where = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
         known = self.key[where] == key if len(self.key) else np.zeros(len(key), bool)
@@ -154,7 +154,7 @@ class ChunkIds:
         return np.concatenate([np.zeros(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def chunk_ids(path: str) -> ChunkIds:
     """One per Python worker, kept from task to task."""
     return ChunkIds(path)
