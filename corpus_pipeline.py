@@ -19,13 +19,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 20 words or more that also stand earlier; a document that has nothing else goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    kept = recompression.deduplicate(docs, carry=others + ("n_chars",))
+    """Cuts passages of 20 words or more that also stand earlier; a document that has nothing else goes.
+
+    A cut text's words are joined by spaces, so its line breaks go too; other texts stay as they
+    are. n_chars, where there is such a column, follows the text. Null texts stay.
+    """
+    none = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    kept = recompression.deduplicate(docs.withColumn(none, F.isnull("text")), carry=(*others, none))
     kept = kept.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_removed") == 0))
-    length = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    named = kept.select(*others, "doc_id", F.col("kept_text").alias("text"), length.alias("n_chars"))
-    return named.select(*docs.columns)
+    columns = {c: F.col("row")[c] for c in others}
+    columns["doc_id"] = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    columns["text"] = F.when(~F.col("row")[none], F.col("kept_text"))
+    if "n_chars" in others:
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(columns["n_chars"])
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
