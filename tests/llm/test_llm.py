@@ -521,3 +521,26 @@ def test_mixed_and_unlearned_texts_stay(spark):
     for m in (model, unlearned):
         kept = languages.keep_identified(asked, m)
         assert kept.columns == asked.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 5, 5]
+
+
+def test_nearest_in_blocks_with_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "MOST_QUERIES", 3)
+    r = np.random.default_rng(6)
+    x = r.standard_normal((300, 70))
+    ids = [*range(0, 3000, 20), *[500] * 100, *range(100_001, 100_051)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got = defaultdict(list)
+    for q in nearest.nearest(vectors, k=7).orderBy("query_id", "rank").collect():
+        got[q.query_id].append((q.vec_id, q.score))
+    assert sorted(got) == sorted({i for i in ids if i % 100 == 0}) and all(len(v) == 7 for v in got.values())
+    ids, right = np.array(ids), 0
+    for q, near in got.items():
+        want = []
+        for own in x[ids == q]:
+            d = np.sqrt(((x - own) ** 2).sum(1))
+            d[ids == q] = np.inf
+            order = np.lexsort((ids, d))[:7]
+            want.append([(int(ids[i]), round(float(d[i]), 9)) for i in order])
+        assert q not in {i for i, _ in near}
+        right += max(len(set(w) & {(i, round(s, 9)) for i, s in near}) for w in want)
+    assert right >= 0.95 * 7 * len(got)
