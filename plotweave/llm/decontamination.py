@@ -8,10 +8,11 @@ from ._store import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Broadcast a table of test terms only up to so many rows (some hundred bytes each).
-BROADCAST_ROWS = 50_000
-#: Likewise candidate matches, gathered by document.
-BROADCAST_MATCHES = 250_000
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # upper case counts here, as nothing is lower-cased first
+#: Broadcast a table of test terms only up to so many rows and bytes (of its rows as JSON).
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
+#: Bits of the map that tells which documents may have a match; it takes 4 MB at most, whatever the corpus.
+MAP_BITS = 1 << 25
 
 
 def terms(text: Column) -> Column:
@@ -19,9 +20,15 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _BETWEEN), "")
 
 
+def word_count(text: Column) -> Column:
+    """How many `terms` a text has, without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
+
+
 def _small(frame: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcast if it is small; a larger one is joined by shuffle."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+    """Marks a stored table for broadcast if it is small; a larger one is joined by shuffle, where Spark splits what is skewed."""
+    size = frame.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return F.broadcast(frame) if size["n"] <= BROADCAST_ROWS and (size["b"] or 0) <= BROADCAST_BYTES else frame
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,8 +61,8 @@ def positional_index(docs: DataFrame, vocabulary: DataFrame | None = None, id_co
 
     doc_key hashes the text, so that rows with one id but different texts stay
     apart. Only the terms of `vocabulary` (distinct column term) are indexed, or
-    all without it. Null and empty texts have no postings. Write it bucketed by
-    term to keep it.
+    all without it. Null and empty texts have no postings. Written to a table it
+    answers exact phrases (aligned, phrase_matches) and proximity (proximity_matches).
     """
     t = _tokens(docs, id_col, text_col)
     t = t if vocabulary is None else t.join(_small(vocabulary), "term")
@@ -91,18 +98,39 @@ def aligned(index: DataFrame, lists: DataFrame, numbered: DataFrame) -> DataFram
     return found.select("doc_id", "doc_key", (F.col("base") + F.col("s")).alias("start"), "n", F.array_join("phrase", " ").alias("phrase"), "item_id")
 
 
+def _cell(doc_id: Column, key: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, key), F.lit(MAP_BITS))
+
+
+def _may_match(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs (doc_id, _k, ...) with `_may`: false only if `found` (_id, _key) has nothing for the document.
+
+    The bits of a map of fixed size, made of the documents found; so texts needn't be
+    shuffled, nor the matches broadcast, to part the documents with matches from the others.
+    """
+    cell = _cell(F.col("_id"), F.col("_key"))
+    bits = found.select(F.bitmap_bucket_number(cell).alias("_b"), F.bitmap_bit_position(cell).alias("_p")).groupBy("_b").agg(F.bitmap_construct_agg("_p").alias("_bits"))
+    own = _cell(F.col("doc_id"), F.col("_k"))
+    d = docs.withColumns({"_own": F.bitmap_bucket_number(own), "_p": F.bitmap_bit_position(own)}).join(F.broadcast(bits), F.col("_own") == F.col("_b"), "left")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.col("_p") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, (F.col("_p") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return d.withColumn("_may", F.coalesce(F.when(F.col("_bits").isNotNull(), one), F.lit(False))).drop("_own", "_p", "_b", "_bits")
+
+
 def phrase_matches(docs: DataFrame, candidates: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, the columns `carry` as a struct `row`, and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too."""
+    """doc_id, n_words, the columns `carry` as a struct `row`, and `matches` (array of start, n, item_id) of every document: the candidates whose other words agree too.
+
+    Only documents that may have a candidate are joined to them; the others pass as they are read.
+    """
     found = cut(candidates.groupBy("doc_id", "doc_key").agg(F.collect_set(F.struct("start", "n", "phrase", "item_id")).alias("_found")).withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"}))
-    row = F.struct(F.lit(0).alias("_"), *(docs[c] for c in carry)).alias("row")
-    d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), row).withColumn("_k", F.xxhash64("_text"))
-    total = found.agg(F.sum(F.size("_found"))).first()[0] or 0
-    found = F.broadcast(found) if total <= BROADCAST_MATCHES else found
-    d = d.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
+    row = F.struct(*((docs[c] for c in carry) if carry else [F.lit(0).alias("_")])).alias("row")
+    d = _may_match(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("_text"), row).withColumn("_k", F.xxhash64("_text")), found)
+    near = d.where("_may").join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left").withColumn("_words", terms(F.col("_text")))
     same = F.filter("_found", lambda m: F.array_join(F.slice("_words", m["start"] + 1, m["n"]), " ") == m["phrase"])
     none = F.from_json(F.lit("[]"), "array<struct<start:int,n:int,item_id:string>>")
     matches = F.coalesce(F.transform(same, lambda m: F.struct(m["start"].alias("start"), m["n"].alias("n"), m["item_id"].alias("item_id"))), none)
-    return d.select("doc_id", F.size("_words").cast("long").alias("n_words"), "row", matches.alias("matches"))
+    clear = d.where("not _may").select("doc_id", word_count(F.col("_text")).alias("n_words"), "row", none.alias("matches"))
+    return clear.unionByName(near.select("doc_id", F.size("_words").cast("long").alias("n_words"), "row", matches.alias("matches")))
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int = 3) -> DataFrame:
@@ -125,7 +153,7 @@ def _found(docs: DataFrame, numbered: DataFrame, id_col: str, text_col: str, siz
     vocabulary = cut(numbered.select(F.explode("words").alias("term")).distinct())
     lists = cut(rarest_terms(wins, cut(term_counts(docs, vocabulary, id_col, text_col))))
     wanted = lists.select("no", F.explode(F.array("lo", "hi")).alias("_p")).join(numbered, "no").select(F.element_at("words", F.col("_p") + 1).alias("term")).distinct()
-    index = positional_index(docs, cut(wanted), id_col, text_col)
+    index = cut(positional_index(docs, cut(wanted), id_col, text_col))
     return phrase_matches(docs, aligned(index, lists, numbered), id_col, text_col, carry)
 
 

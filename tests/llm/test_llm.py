@@ -544,3 +544,28 @@ def test_nearest_in_blocks_with_repeated_ids(spark, monkeypatch):
         assert q not in {i for i, _ in near}
         right += max(len(set(w) & {(i, round(s, 9)) for i, s in near}) for w in want)
     assert right >= 0.95 * 7 * len(got)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 64, 1])
+def test_map_of_documents_loses_none(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontamination, "MAP_BITS", bits)
+    docs = spark.range(3000).select(F.when(F.col("id") < 2999, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("_k"))
+    found = docs.where("doc_id % 50 = 0 or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("_k").alias("_key"))
+    got = decontamination._may_match(docs, found)
+    assert got.count() == 3000 and got.where("_may and (doc_id % 50 = 0 or doc_id is null)").count() == 61
+    others = got.where("_may").count() - 61
+    assert others == 0 if bits > 3000 else others > 0
+    none = decontamination._may_match(docs, found.where("false"))
+    assert none.where("_may").count() == 0
+
+
+def test_phrases_and_proximity_from_a_stored_index(spark, tmp_path):
+    docs = table(spark, [(1, "A x c b y"), (2, "a b c"), (3, "a x x x x x x x x b c"), (4, None), (None, "zz a b c")])
+    decontamination.positional_index(docs).write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    items = decontamination.test_items(spark.createDataFrame([(7, "a b c")], "item_id long, text string"))
+    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    found = decontamination.aligned(index, decontamination.rarest_terms(decontamination.windows(items), counts), items)
+    assert {(r.doc_id, r.start) for r in found.collect()} == {(2, 0), (None, 1)}
+    phrases = spark.createDataFrame([(5, ["a", "b", "c"])], "no long, phrase array<string>")
+    assert {(r.doc_id, r.pos) for r in decontamination.proximity_matches(index, phrases, slop=2).collect()} == {(1, 0), (2, 0), (None, 1)}
