@@ -99,8 +99,8 @@ def height(prefix: str = "") -> Column:
 
 def center(prefix: str = "") -> tuple[Column, Column]:
     """(lng, lat) as INT: the lower corner plus half the size, cut down."""
-    lng = F.col(prefix + "min_lng").cast("long") + F.floor(width(prefix) / 2)
-    lat = F.col(prefix + "min_lat").cast("long") + F.floor(height(prefix) / 2)
+    lng = F.col(prefix + "min_lng").cast("long") + F.call_function("div", width(prefix), F.lit(2).cast("long"))
+    lat = F.col(prefix + "min_lat").cast("long") + F.call_function("div", height(prefix), F.lit(2).cast("long"))
     return lng.cast("int"), lat.cast("int")
 
 

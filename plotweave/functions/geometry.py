@@ -140,3 +140,8 @@ def near(a: Column, b: Column, eps: float) -> Column:
     """Points (struct lng, lat) that agree within `eps` degrees."""
     e = F.lit(eps * 1e7)
     return (F.abs(a["lng"].cast("long") - b["lng"]) <= e) & (F.abs(a["lat"].cast("long") - b["lat"]) <= e)
+
+
+def same(a: Column, b: Column) -> Column:
+    """Equal kinds, parts and points in the same order; NULL equals NULL."""
+    return a.eqNullSafe(b)

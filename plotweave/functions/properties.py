@@ -56,6 +56,10 @@ def is_empty(props: Column) -> Column:
     return F.size(props) == 0
 
 
+def same(a: Column, b: Column) -> Column:
+    """Equal keys, types and values in the same order. Variants don't compare, so their JSON texts do."""
+    return to_json_entries(a).eqNullSafe(to_json_entries(b))
+
 
 def from_json_entries(entries: Column) -> Column:
     """From array<struct<key, tag, json>> (values as JSON texts): the same with variant values."""

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import FeatureCountMismatch
 from ..functions import bounds
 
 #: Children of a node, and bytes of a node in the binary format (fixed values of the data model).
 FANOUT, NODE_BYTES = 16, 28
 
 
-class FeatureCountMismatch(ValueError):
-    """The number of leaves isn't the number that was announced."""
-
 
 def nodes_per_level(n: int) -> list[int]:
     """Root first; the last level has one node for each feature. No level for no feature."""
@@ -51,6 +49,14 @@ def level_of(n: int, node: int) -> int:
     raise IndexError(node)
 
 
+def level_column(n: int, node: Column) -> Column:
+    """`level_of` for a column of node numbers; NULL for unknown nodes."""
+    out = F.lit(None).cast("int")
+    for height, (a, b) in enumerate(reversed(node_ranges(n))):
+        out = F.when((node >= a) & (node < b), F.lit(height)).otherwise(out)
+    return out
+
+
 def is_leaf(n: int, node: int) -> bool:
     return level_of(n, node) == 0
 
@@ -65,9 +71,9 @@ def children(n: int, node: int) -> tuple[int, int] | None:
     return None
 
 
-def levels(positioned: DataFrame, announced: int | None = None) -> list[DataFrame]:
-    """(pos, bounds) by level, root first, from features with `pos`; each level sums up the next in one aggregation."""
-    n = positioned.count()
+def levels(positioned: DataFrame, announced: int | None = None, n: int | None = None) -> list[DataFrame]:
+    """(pos, bounds) by level, root first, from `n` features with `pos` (counted if not given); each level sums up the next in one aggregation."""
+    n = positioned.count() if n is None else n
     if announced is not None and announced != n:
         raise FeatureCountMismatch(f"{announced} features were announced, {n} came")
     level = positioned.select("pos", *bounds.NAMES)
@@ -78,27 +84,57 @@ def levels(positioned: DataFrame, announced: int | None = None) -> list[DataFram
     return out if n else []
 
 
-def nodes(positioned: DataFrame) -> DataFrame:
-    """All nodes: node (number, root first), level (0 = leaf), pos (in the level) and bounds."""
-    all_levels = levels(positioned)
-    empty = positioned.where("false").select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("level"), "pos", *bounds.NAMES)
-    if not all_levels:
-        return empty
-    starts = [a for a, _ in node_ranges(positioned.count())]
-    out = None
-    for depth, (level, start) in enumerate(zip(all_levels, starts)):
-        part = level.select((F.col("pos") + start).alias("node"), F.lit(len(starts) - 1 - depth).alias("level"), "pos", *bounds.NAMES)
-        out = part if out is None else out.unionByName(part)
+def nodes(positioned: DataFrame, n: int | None = None, least: int = 0) -> DataFrame:
+    """All nodes: node (number, root first), level (0 = leaf), pos (in the level) and bounds; with `least` only levels from that on."""
+    n = positioned.count() if n is None else n
+    out = positioned.where("false").select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("level"), "pos", *bounds.NAMES)
+    starts = [a for a, _ in node_ranges(n)]
+    for depth, (level, start) in enumerate(zip(levels(positioned, n=n), starts)):
+        height = len(starts) - 1 - depth
+        if height >= least:
+            out = out.unionByName(level.select((F.col("pos") + start).alias("node"), F.lit(height).alias("level"), "pos", *bounds.NAMES))
     return out
 
 
-def search(positioned: DataFrame, box: bounds.Box) -> DataFrame:
-    """Positions of the features whose bounds meet the box: from the root down, only children of nodes that meet it are looked at."""
+def _parent() -> Column:
+    return F.call_function("div", F.col("pos"), F.lit(FANOUT).cast("long"))
+
+
+def descend(tree: DataFrame, box: bounds.Box, down_to: int = 0) -> DataFrame:
+    """(pos) of level `down_to`'s nodes that meet the box, from stored `nodes`: only children of nodes that meet it are looked at.
+
+    An upper level is small beside the next, so the walk is a chain of semi-joins whose
+    left sides are scans with the box pushed down.
+    """
+    top = tree.agg(F.max("level").alias("m")).first()["m"]
     found = None
-    for level in levels(positioned):
-        hit = level.where(bounds.intersects(box))
-        if found is not None:
-            parents = found.select(F.col("pos").alias("_parent"))
-            hit = hit.join(parents, F.call_function("div", F.col("pos"), F.lit(FANOUT).cast("long")) == F.col("_parent"), "left_semi")
-        found = hit
-    return positioned.where("false").select("pos") if found is None else found.select("pos")
+    for level in range(-1 if top is None else top, down_to - 1, -1):
+        hit = tree.where((F.col("level") == level) & bounds.intersects(box))
+        found = hit if found is None else hit.join(found.select(F.col("pos").alias("_up")), _parent() == F.col("_up"), "left_semi")
+    return tree.where("false").select("pos") if found is None else found.select("pos")
+
+
+def merged_ranges(pos: DataFrame, span: int = 1, gap: int = 0, most: int = 1024) -> list[tuple[int, int]]:
+    """Half-open ranges of places that cover [pos * span, pos * span + span) of every row, neighbours within `gap` made one.
+
+    Places fall into blocks, as wide as needed for at most `most` of them to reach the driver:
+    more rows widen the ranges, but none is lost.
+    """
+    ends = pos.agg(F.min("pos").alias("a"), F.max("pos").alias("z")).first()
+    if ends["a"] is None:
+        return []
+    width = max(1, -(-(ends["z"] - ends["a"] + 1) // most))
+    blocks = pos.groupBy(F.call_function("div", F.col("pos") - F.lit(ends["a"]), F.lit(width).cast("long")).alias("b")).agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    out: list[tuple[int, int]] = []
+    for r in sorted(blocks.collect(), key=lambda r: r["b"]):
+        a, z = r["a"] * span, (r["z"] + 1) * span
+        if out and a - out[-1][1] <= gap:
+            out[-1] = (out[-1][0], z)
+        else:
+            out.append((a, z))
+    return out
+
+
+def search(positioned: DataFrame, box: bounds.Box) -> DataFrame:
+    """Positions of the features whose bounds meet the box, from the root down. Builds the tree; a stored dataset keeps it."""
+    return descend(nodes(positioned), box)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import bounds, coords, geometry, properties, wkt
-from ..operators import layout, rtree, select
+from ..operators import layout, rtree, select, shared
 from ..sources import dataset, geojson
 from . import synth
 
@@ -405,20 +404,15 @@ def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT count(*) AS feature_count, true AS is_compressed, CAST(17 AS BIGINT) AS header_bytes FROM customer")
 def file_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the customers as a dataset into the shared folder and describes it."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dataset-")
-    stored = dataset.write_clustered(synth.pt_customer(spark, sf_dir), f"{folder.rstrip('/')}/customers-{uuid.uuid4().hex}", partitions=4)
+    stored = dataset.write_clustered(synth.pt_customer(spark, sf_dir), shared.path(spark, "customers"), partitions=4)
     return stored.describe().select("feature_count", "is_compressed", "header_bytes")
 
 
 @_query(f"WITH {_EVENT} SELECT count(*) AS n FROM ev WHERE lng BETWEEN -100000000 AND 600000000 AND lat BETWEEN -100000000 AND 450000000")
 def stored_select_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box query over a stored, clustered dataset."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dataset-")
-    stored = dataset.write_clustered(synth.pt_event(spark, sf_dir).drop("props"), f"{folder.rstrip('/')}/events-{uuid.uuid4().hex}", partitions=8)
+    stored = dataset.write_clustered(synth.pt_event(spark, sf_dir), shared.path(spark, "events"), partitions=8)
     return stored.select_bbox(_BOX).agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import formats  # noqa: E402, F401  # adds its queries to QUERIES

@@ -7,6 +7,8 @@ stored order with pages spooled to disk. Parquet datasets are the way to store m
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 import shutil
 import struct
@@ -16,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..errors import DecodeError, StorageError
 from ..functions import bounds, geometry, properties, wkt
 from ..operators import layout, rtree
 
@@ -151,26 +154,159 @@ def encode(features: Iterable[tuple[tuple | None, bytes]], out, compressed: bool
         shutil.copyfileobj(pages, out)
 
 
+def _body(data: bytes, at: int, compressed: bool) -> tuple[bytes, int, int]:
+    """A page's decoded bytes, its features, and where the next page begins."""
+    size, _, count = PAGE.unpack_from(data, at)
+    body = data[at + PAGE.size : at + PAGE.size + size]
+    if compressed and body:
+        import zstandard
+
+        body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    return body, count, at + PAGE.size + size
+
+
+def header_of(data: bytes) -> tuple[bool, int, int]:
+    """is_compressed, page_count, feature_count; DecodeError if the bytes are no header."""
+    if len(data) < HEADER.size or data[0] > 1:
+        raise DecodeError("no header of the packed format")
+    return HEADER.unpack_from(data, 0)
+
+
 def decode(data: bytes) -> Iterator[tuple[wkt.Shape, list[tuple[str, str, object]]]]:
     """All features of a file's bytes, in stored order."""
-    compressed, n_pages, n = HEADER.unpack_from(data, 0)
+    compressed, n_pages, n = header_of(data)
     at = HEADER.size + rtree.index_bytes(n)
     for _ in range(n_pages):
-        size, _, count = PAGE.unpack_from(data, at)
-        body = data[at + PAGE.size : at + PAGE.size + size]
-        at += PAGE.size + size
-        if compressed:
-            import zstandard
-
-            body = zstandard.ZstdDecompressor().decompressobj().decompress(body) if body else b""
+        body, count, at = _body(data, at, compressed)
         c = _Cursor(body)
         for _ in range(count):
             c.take("Q")
             yield c.shape(), c.entries()
 
 
+def locate(data: bytes, box: bounds.Box) -> tuple[list[tuple[int, int, int]], int]:
+    """(place, page start, offset in the page) of the features whose bounds meet the box, ascending; nodes looked at.
+
+    From the root down; children of neighbouring hits are read as one run.
+    """
+    _, _, n = header_of(data)
+    ranges, looked = rtree.node_ranges(n), 0
+    runs = [(0, 1)] if n else []
+    for depth, (low, high) in enumerate(ranges):
+        hits = []
+        for a, z in runs:
+            looked += z - a
+            for k, (x0, y0, x1, y1, page, offset) in enumerate(NODE.iter_unpack(data[HEADER.size + a * NODE.size : HEADER.size + z * NODE.size]), a):
+                if x1 >= box.min_lng and y1 >= box.min_lat and x0 <= box.max_lng and y0 <= box.max_lat:
+                    hits.append((k, page, offset))
+        if depth == len(ranges) - 1:
+            return [(k - low, page, offset) for k, page, offset in hits], looked
+        runs = []
+        for k, _, _ in hits:
+            a, z = rtree.children(n, k)
+            if runs and runs[-1][1] == a:
+                runs[-1] = (runs[-1][0], z)
+            else:
+                runs.append((a, z))
+    return [], looked
+
+
+def decode_bbox(data: bytes, box: bounds.Box) -> Iterator[tuple[int, wkt.Shape, list[tuple[str, str, object]]]]:
+    """(place, shape, entries) of the features that meet the box; pages without any are not decoded."""
+    compressed, _, n = header_of(data)
+    base, held, body = HEADER.size + rtree.index_bytes(n), None, b""
+    for place, page, offset in locate(data, box)[0]:
+        if page != held:
+            held, (body, _, _) = page, _body(data, base + page, compressed)
+        c = _Cursor(body)
+        c.at = offset + 8
+        yield place, c.shape(), c.entries()
+
+
+def sections(data: bytes) -> Iterator[tuple]:
+    """(section, level, number, start, bytes, bounds..., features) of each part of a file: header, index nodes, pages and features."""
+    compressed, n_pages, n = header_of(data)
+    yield ("header", None, 0, 0, HEADER.size, None, None, None, None, n)
+    ranges = rtree.node_ranges(n)
+    for depth, (a, z) in enumerate(ranges):
+        for k, (x0, y0, x1, y1, _, _) in enumerate(NODE.iter_unpack(data[HEADER.size + a * NODE.size : HEADER.size + z * NODE.size]), a):
+            yield ("node", len(ranges) - 1 - depth, k, HEADER.size + k * NODE.size, NODE.size, x0, y0, x1, y1, None)
+    at, place = HEADER.size + rtree.index_bytes(n), 0
+    for page in range(n_pages):
+        body, count, end = _body(data, at, compressed)
+        yield ("page", None, page, at, end - at, None, None, None, None, count)
+        c = _Cursor(body)
+        for _ in range(count):
+            start = c.at
+            (size,) = c.take("Q")
+            yield ("feature", page, place, start, 8 + size, None, None, None, None, None)
+            c.at += size
+            place += 1
+        at = end
+
+
+_SECTION = "path string, section string, level int, number long, start long, bytes long, min_lng int, min_lat int, max_lng int, max_lat int, features long"
+
+
+def inspect(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each part of packed files: section, level (of a node; a feature's page), number, start (a feature's within its decoded page), bytes, bounds, features."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = spark.createDataFrame([], _SECTION).schema
+    arrow = to_arrow_schema(kind)
+    names = [f.name for f in kind]
+
+    def run(batches):
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = []
+                for s in sections(data):
+                    rows.append(dict(zip(names, (file, *s))))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)
+
+
+def _open(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a file's header, by reading its first 17 bytes from any file system that Spark reads."""
+    at, fs = _open(spark, path)
+    if not fs.exists(at):
+        raise StorageError(f"no file at {path}")
+    stream = fs.open(at)
+    try:
+        data = bytes(stream.readNBytes(HEADER.size))
+    finally:
+        stream.close()
+    compressed, pages, n = header_of(data)
+    row = (compressed, pages, n, HEADER.size, rtree.index_bytes(n), int(fs.getFileStatus(at).getLen()))
+    return spark.createDataFrame([row], "is_compressed boolean, page_count long, feature_count long, header_bytes long, index_bytes long, file_bytes long")
+
+
+class _Raw(io.RawIOBase):
+    """A stream of the JVM as a file object."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+
 def write(features: DataFrame, path: str, compressed: bool = False, goal: int = 64 * 1024) -> None:
-    """Writes one local file; rows come to the driver one partition at a time, in stored order."""
+    """Writes one file to any file system that Spark writes; rows come to the driver one partition at a time, in stored order."""
+    spark = features.sparkSession
     rows = layout.with_hilbert(features).select("hilbert", "feature_id", "geom", properties.to_json_entries(F.col("properties")).alias("entries"), *bounds.NAMES)
 
     def each():
@@ -178,12 +314,18 @@ def write(features: DataFrame, path: str, compressed: bool = False, goal: int =
             entries = [(e["key"], properties.TAGS[e["tag"]], json.loads(e["json"])) for e in r["entries"] or []]
             yield (None if r["min_lng"] is None else tuple(r[n] for n in bounds.NAMES)), encode_feature(wkt.from_nodes(r["geom"]), entries)
 
-    with open(path, "wb") as out:
+    at, fs = _open(spark, path)
+    stream = fs.create(at, True)
+    try:
+        out = io.BufferedWriter(_Raw(stream), 1 << 20)
         encode(each(), out, compressed, goal)
+        out.flush()
+    finally:
+        stream.close()
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Features of one or many files, one task for each; feature_id follows stored order."""
+def read(spark: SparkSession, path: str, box: bounds.Box | None = None) -> DataFrame:
+    """Features of one or many files, one task for each; feature_id follows stored order. With a box only pages with hits in the index are decoded."""
     schema = f"geom {geometry.TYPE}, entries array<struct<key:string,tag:tinyint,json:string>>"
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -193,9 +335,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for data in b.column(0).to_pylist():
-                rows = [{"geom": wkt.to_nodes(s), "entries": [{"key": k, "tag": properties.TAGS.index(t), "json": json.dumps(v)} for k, t, v in e]} for s, e in decode(data)]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                found = decode(data) if box is None else ((s, e) for _, s, e in decode_bbox(data, box))
+                while rows := [{"geom": wkt.to_nodes(s), "entries": [{"key": k, "tag": properties.TAGS.index(t), "json": json.dumps(v)} for k, t, v in e]} for s, e in itertools.islice(found, 10_000)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, kind)
     out = found.select(F.monotonically_increasing_id().alias("feature_id"), "geom", properties.from_json_entries(F.col("entries")).alias("properties"))
     return out.select("*", *geometry.bounds(F.col("geom")))
+
+
+def _touched(file: str, data: bytes, box: bounds.Box) -> dict:
+    _, _, n = header_of(data)
+    hits, looked = locate(data, box)
+    base, pages = HEADER.size + rtree.index_bytes(n), {p for _, p, _ in hits}
+    size = sum(PAGE.size + PAGE.unpack_from(data, base + p)[0] for p in pages)
+    return {"path": file, "file_bytes": len(data), "index_bytes": looked * NODE.size, "page_bytes": size, "pages": len(pages), "features": len(hits)}
+
+
+def transfer(spark: SparkSession, path: str, box: bounds.Box) -> DataFrame:
+    """(path, file_bytes, index_bytes, page_bytes, pages, features): what a box query touches of each file."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([_touched(f, d, box) for f, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())])
+
+    kind = "path string, file_bytes long, index_bytes long, page_bytes long, pages long, features long"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, kind)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from ..errors import DecodeError
 from ..functions import geometry, properties, wkt
 from ..functions.coords import unit_of
 
@@ -25,14 +26,16 @@ _BOOL, _INT, _FLOAT, _TEXT = (properties.TAGS.index(t) for t in ("bool", "int64"
 
 
 def shape_of(value: dict) -> wkt.Shape:
-    """A JSON geometry as a shape; coordinates beyond the second are an error."""
+    """A JSON geometry as a shape. Coordinates beyond the second, such as heights, are left out; a position of fewer is an error."""
+    if not isinstance(value, dict) or value.get("type") not in _KIND:
+        raise DecodeError(f"no geometry: {str(value)[:80]}")
     kind = _KIND[value["type"]]
     if kind == geometry.COLLECTION:
         return kind, [shape_of(g) for g in value["geometries"]]
 
     def point(p) -> tuple[int, int]:
-        if len(p) != 2:
-            raise ValueError("positions with other than two coordinates are not supported")
+        if not isinstance(p, list) or len(p) < 2:
+            raise DecodeError("a position needs two coordinates")
         return unit_of(float(p[0])), unit_of(float(p[1]))
 
     c = value["coordinates"]
@@ -78,28 +81,47 @@ def entries_of(value: dict | None) -> list[dict]:
     return out
 
 
-def features_of(text: str, null_geometry: str) -> Iterator[dict]:
-    value = json.loads(text)
-    if value["type"] == "FeatureCollection":
-        found = value["features"]
-    elif value["type"] == "Feature":
-        found = [value]
-    else:
-        found = [{"geometry": value, "properties": None}]
-    for f in found:
-        g = f.get("geometry")
-        if g is None:
-            nodes = wkt.to_nodes((geometry.POINT, [(0, 0)])) if null_geometry == "origin" else None
+#: What becomes of a feature that can't be read: an error, no row, or a row without geometry.
+MODES = ("fail", "drop", "null")
+
+
+def features_of(text: str, null_geometry: str, mode: str = "fail") -> Iterator[dict]:
+    try:
+        value = json.loads(text)
+        if value["type"] == "FeatureCollection":
+            found = value["features"]
+        elif value["type"] == "Feature":
+            found = [value]
         else:
-            nodes = wkt.to_nodes(shape_of(g))
+            found = [{"geometry": value, "properties": None}]
+    except (ValueError, TypeError, KeyError) as error:
+        if mode == "fail":
+            raise DecodeError(f"no GeoJSON: {text[:80]}") from error
+        found = [{"geometry": {}, "properties": None}] if mode == "null" else []
+    for f in found:
+        g, nodes = f.get("geometry"), None
+        try:
+            if g is not None:
+                nodes = wkt.to_nodes(shape_of(g))
+            elif null_geometry == "origin":
+                nodes = wkt.to_nodes((geometry.POINT, [(0, 0)]))
+        except (ValueError, TypeError, KeyError) as error:
+            if mode == "fail":
+                raise DecodeError(f"no geometry: {str(g)[:80]}") from error
+            if mode == "drop":
+                continue
         yield {"geom": nodes, "entries": entries_of(f.get("properties"))}
 
 
-def parse(texts: DataFrame, text_col: str = "value", null_geometry: str = "null") -> DataFrame:
+def parse(texts: DataFrame, text_col: str = "value", null_geometry: str = "null", mode: str = "fail") -> DataFrame:
     """Features (feature_id, geom, properties, bounds) of a column of GeoJSON texts; ids, boxes and foreign members are dropped.
 
-    A null geometry stays NULL, or becomes POINT(0 0) with null_geometry='origin'. Null and blank texts have no features.
+    A null geometry stays NULL, or becomes POINT(0 0) with null_geometry='origin'. Null and blank
+    texts have no features. A text or geometry that can't be read (an empty point, say) raises
+    DecodeError with mode='fail', has no row with 'drop', and no geometry with 'null'.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
     kind = texts.sparkSession.createDataFrame([], _ROW).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -107,16 +129,43 @@ def parse(texts: DataFrame, text_col: str = "value", null_geometry: str = "null"
 
     def run(batches):
         for b in batches:
-            rows = [f for t in b.column(0).to_pylist() if t and t.strip() for f in features_of(t, null_geometry)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for t in b.column(0).to_pylist():
+                if t and t.strip():
+                    yield pa.RecordBatch.from_pylist(list(features_of(t, null_geometry, mode)), schema=schema)
 
-    parsed = texts.select(texts[text_col].alias("value")).mapInArrow(run, kind)
+    return _features(texts.select(texts[text_col].alias("value")).mapInArrow(run, kind))
+
+
+def _features(parsed: DataFrame) -> DataFrame:
     out = parsed.select(F.monotonically_increasing_id().alias("feature_id"), "geom", properties.from_json_entries(F.col("entries")).alias("properties"))
     return out.select("*", *geometry.bounds(F.col("geom")))
 
 
-def read(spark: SparkSession, path: str, by_line: bool = False, null_geometry: str = "null") -> DataFrame:
-    return parse(spark.read.text(path, wholetext=not by_line), "value", null_geometry)
+def parse_geometries(texts: DataFrame, group: str, text_col: str = "value") -> DataFrame:
+    """One feature for each `group` of bare geometries, kept in a column of that name: their collection, or the only one by itself.
+
+    A group's geometries come in the order of their parts; it becomes one row, so it must fit one.
+    """
+    schema = f"_g string, geom {geometry.TYPE}"
+
+    def run(batches):
+        for b in batches:
+            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pylist([{"_g": g, "geom": wkt.to_nodes(shape_of(json.loads(t)))}], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = texts.sparkSession.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(kind)
+    rows = texts.where(F.col(text_col).isNotNull())
+    one = rows.select(F.col(group).cast("string").alias("_g"), F.col(text_col)).mapInArrow(run, kind)
+    made = one.groupBy("_g").agg(geometry.unwrapped(F.array_sort(F.collect_list("geom"))).alias("geom"))
+    made = made.select(F.col("_g").alias(group), "geom", properties.empty().alias("properties"))
+    return made.select("*", *geometry.bounds(F.col("geom")))
+
+
+def read(spark: SparkSession, path: str, by_line: bool = False, null_geometry: str = "null", mode: str = "fail") -> DataFrame:
+    return parse(spark.read.text(path, wholetext=not by_line), "value", null_geometry, mode)
 
 
 def feature_text(geom: Column, props: Column) -> Column:
