@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="tables-")
-
-
-def folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a temporary folder only where that is unset, as in tests on one machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+from ..operators.shared import folder
 
 
 def cut(frame: DataFrame) -> DataFrame:
@@ -32,6 +22,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> None:
+    """Removes the table behind a frame made by `cut`, once a later table holds all that is needed of it."""
+    spark = frame.sparkSession
+    for file in frame.inputFiles()[:1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if at.getName().startswith("table-"):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files that nothing reads any more, now that a table stands in for them.
 

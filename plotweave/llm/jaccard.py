@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._columns import LOWER, NON_SPACE, mix, slices, text_buffers, words
-from ._store import cut
+from ._store import cut, discard
 from ._worker import lean
 
 #: Frequencies are tracked for n-grams in at least this share of documents and for words of at least this share.
@@ -92,7 +92,9 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
     Every task counts some documents at a time and hands on what is frequent there; the
     sums that are frequent over all are kept, so at most the inverse of the two
-    shares times the n-grams per document are. Rarer ones count as rare.
+    shares times the n-grams per document are. Rarer ones count as rare. A count falls short of the
+    true one by less than 2, or FREQUENT of the documents if more, for each part counted; it
+    only orders tokens and prices prefixes, so links don't depend on it.
     """
 
     def counted(parts: list[tuple[np.ndarray, np.ndarray]], n_docs: int) -> pa.RecordBatch:
@@ -277,26 +279,38 @@ def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
             yield _pairs(node[on], h_node[on], aux[on], h_aux[on])
             hub = (key[-1], h_node[-1], h_aux[-1])
 
-    return lists.select("key", "node", "aux").repartition("key").sortWithinPartitions("key", "aux", "node").mapInArrow(lean(run), _PAIR)
+    # one list for each range of sizes: others can't match, and what hubs miss is compared later
+    key = F.xxhash64("key", _sizes(percent)).alias("key")
+    return lists.select(key, "node", "aux").repartition("key").sortWithinPartitions("key", "aux", "node").mapInArrow(lean(run), _PAIR)
+
+
+def _sizes(percent: int) -> Column:
+    """The range that a node's size lies in. Sets that can match lie in one range or in neighbours."""
+    size = F.shiftright("aux", 8).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.floor(F.log(size.cast("double")) / (float(np.log(100 / percent)) * 1.0001)).cast("int") if percent < 100 else size.cast("int") * 2
 
 
 def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a list in different components that sizes, places and parities allow, in blocks of the list."""
-    rows = lists.select("key", "node", "aux").join(nodes.select("node", "component", "parity"), "node")
-    several = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    """All pairs of a list in different components that sizes, places and parities allow, in blocks of the list.
+
+    A list falls into ranges of sizes; nodes also visit the next range, where they meet those at home there.
+    """
+    rows = lists.select("key", "node", "aux").join(nodes.select("node", "component", "parity"), "node").withColumn("_range", _sizes(percent))
+    rows = rows.withColumn("_visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", F.xxhash64("key", F.col("_range") + F.col("_visits"))).withColumn("_home", F.col("_visits") == 0)
+    several = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"), F.max("_home").alias("_h")).where("_a <> _b and _h").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
     rows = rows.join(several, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "aux", "component", "parity", "_own")
+    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "aux", "component", "parity", "_own", "_home")
 
     def compare(t: pa.Table):
-        node, aux, comp, own = (t.column(c).to_numpy() for c in ("node", "aux", "component", "_own"))
+        node, aux, comp, own, home = (t.column(c).to_numpy() for c in ("node", "aux", "component", "_own", "_home"))
         bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node)) if i == j else np.flatnonzero((own == j) & (own[x] == i))
             if not len(y):
                 continue
-            y = y[comp[y] != comp[x]]
+            y = y[(comp[y] != comp[x]) & (home[y] | home[x])]
             y = y[_fits(aux[y], aux[x], percent)]
             sizes = ((aux[y] >> 8) & 0xFFFFFFFF) + ((aux[x] >> 8) & 0xFFFFFFFF)
             y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) * (100 + percent) <= (100 - percent) * sizes]
@@ -374,6 +388,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = linked.join(near, "node").select("node", F.col("component").alias("_old"), F.least("component", "_c").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("_j"))
         new = cut(step.join(jump, "component").select("node", "_old", F.least("component", "_j").alias("component")))
+        discard(linked)
         linked = new.select("node", "component")
         if new.where("_old <> component").isEmpty():
             break
@@ -428,11 +443,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     keys = judged.groupBy(F.col("doc").alias("_id"), F.col("row").alias("_row")).agg(F.first("stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
     keys = cut(keys.where("not _stays or _rows > 1").select("_id", "_row", "_stays"))
     small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_row"))
-    kept = docs.join(F.broadcast(keys) if small else keys, same, "left_anti")
+    # rows travel inside a struct, so their columns may have any names
+    whole = docs.select(docs[id_col].cast("long").alias("_doc"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("_text"), F.struct(*(docs[c] for c in docs.columns)).alias("_all"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_row"))
+    columns = [F.col("_all")[c].alias(c) for c in docs.columns]
+    kept = whole.join(F.broadcast(keys) if small else keys, same, "left_anti").select(*columns)
     repeated = keys.where("_stays")
     if repeated.isEmpty():
         return kept
     repeated = F.broadcast(repeated) if small else repeated
-    one = docs.join(repeated, same).select("_id", "_row", F.struct(*(docs[c] for c in docs.columns)).alias("_all")).groupBy("_id", "_row").agg(F.first("_all").alias("_all"))
-    return kept.union(one.select(*(F.col("_all")[c].alias(c) for c in docs.columns)))
+    one = whole.join(repeated, same).groupBy("_id", "_row").agg(F.first("_all").alias("_all"))
+    return kept.union(one.select(*columns))

@@ -70,6 +70,19 @@ def op7_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_read(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+), edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+"""
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -117,4 +130,4 @@ def op10_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_counterfactual_toxicity, op2_token_lengths, op3_recompression, op4_interval_tree, op5_script_viterbi, op6_factorisation_quality, op7_adaptive_prefix_join, op8_positional_index, op9_rotated_one_bit_codes, op10_cost_balanced_packing)}
-ORACLE_SQL = {"op3_recompression": OP3_SQL, "op4_interval_tree": OP4_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
+ORACLE_SQL = {"op3_recompression": OP3_SQL, "op4_interval_tree": OP4_SQL, "op7_adaptive_prefix_join": OP7_SQL, "op8_positional_index": OP8_SQL, "op9_rotated_one_bit_codes": OP9_SQL}
