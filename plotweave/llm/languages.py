@@ -123,7 +123,7 @@ class Model:
     def slice_bytes(self) -> int:
         """Text decoded at a time: scores and back pointers take some bytes for each word and language (or pair of languages, if few)."""
         many = max(len(self.languages), 4)
-        return max(1 << 12, min(2 * PIECE, (32 << 20) // (many * self._entries(many))))
+        return max(1 << 12, min(PIECE, (32 << 20) // (many * self._entries(many))))
 
     @staticmethod
     def _entries(many: int) -> int:
