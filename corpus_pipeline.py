@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plotweave.llm import decontamination, jaccard, languages, packing, recompression
 from plotweave.llm._store import cut
 
 
+#: Rows that go to a Python worker at a time: some MB of texts, where Spark's default of 10,000 rows is some ten times that.
+BATCH_ROWS = 2000
+
+
+def _stage(run):
+    """Has the session hand texts to Python in small batches before the stage is planned; results don't depend on it."""
+
+    @functools.wraps(run)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(key)) > BATCH_ROWS:
+            spark.conf.set(key, BATCH_ROWS)
+        return run(spark, docs, sf_dir)
+
+    return bounded
+
+
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in which no span of any language is found; if no row has a language to learn from, only texts without letters."""
     return languages.keep_identified(docs, languages.fit(docs))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: sets of five-word shingles, Jaccard of 0.8 or more."""
     return jaccard.keep_one(docs, n=5, percent=80)
 
 
+@_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 20 words or more that also stand earlier; a document that has nothing else goes.
 
@@ -37,11 +59,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(*(columns[c].alias(c) for c in docs.columns))
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item, or a shorter item."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of what is left into sequences of 2048."""
     return packing.pack(docs)
