@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._columns import LOWER, NON_SPACE, mix, slices, text_buffers, words
+from ._columns import LOWER, NON_SPACE, mix, runs, slices, text_buffers, words
 from ._store import cut, discard
 from ._worker import lean
 
@@ -32,34 +32,41 @@ BLOCK = 512
 BROADCAST_ROWS = 100_000
 #: Words that are counted at a time.
 COUNTED_WORDS = 1_000_000
+#: Cells that n-grams are counted in before it is known which may be frequent, and cells that travel as one row.
+CELLS, PIECE = 1 << 20, 1 << 14
 _HASH_BITS = 54
 _LOW = np.uint64((1 << _HASH_BITS) - 1)
 
 
+def _grams(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Hashes of a slice's words, and document, first word, length and hash of each of its n-grams."""
+    w = words(LOWER[raw], offsets, NON_SPACE)
+    h = w.hashes(4)
+    count = np.diff(w.first)
+    grams = np.maximum(count - n + 1, (count > 0).astype(np.int64))
+    start = runs(w.first[:-1], grams)
+    doc = np.repeat(np.arange(len(count)), grams)
+    size = np.minimum(count, n)[doc]
+    v = size.astype(np.uint64)
+    for k in range(n):
+        inside = size > k
+        v = np.where(inside, mix(v * np.uint64(0x9E3779B97F4A7C15) + h[np.where(inside, start + k, 0)]), v) if len(h) else v
+    return h, doc, start, size, v & _LOW
+
+
 class Shingles:
     """Sets of hashed n-grams of a slice of documents, sorted by document and hash."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, n: int):
-        w = words(LOWER[raw], offsets, NON_SPACE)
-        h = w.hashes(4)
-        self.words = h
-        count = np.diff(w.first)
-        grams = np.maximum(count - n + 1, (count > 0).astype(np.int64))
-        start = np.repeat(w.first[:-1] - np.concatenate([[0], np.cumsum(grams)[:-1]]), grams) + np.arange(grams.sum())
-        doc = np.repeat(np.arange(len(count)), grams)
-        size = np.minimum(count, n)[doc]
-        v = size.astype(np.uint64)
-        for k in range(n):
-            inside = size > k
-            v = np.where(inside, mix(v * np.uint64(0x9E3779B97F4A7C15) + h[np.where(inside, start + k, 0)]), v) if len(h) else v
-        key = (doc.astype(np.uint64) << np.uint64(_HASH_BITS)) | (v & _LOW)
+        self.words, doc, start, size, v = _grams(raw, offsets, n)
+        key = (doc.astype(np.uint64) << np.uint64(_HASH_BITS)) | v
         order = np.argsort(key, kind="stable")
         key = key[order]
         one = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         self.key, self.at, self.size_of = key[one], start[order][one], size[order][one]
         self.token = self.key & _LOW
         self.doc = (self.key >> np.uint64(_HASH_BITS)).astype(np.int64)
-        self.first = np.searchsorted(self.doc, np.arange(len(count) + 1))
+        self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
         self.n = n
 
     def sums(self, of: np.ndarray) -> np.ndarray:
@@ -79,60 +86,89 @@ class Shingles:
         return (np.bincount(cell, minlength=out.size) & 1).astype(bool).reshape(out.shape)
 
 
-def _sliced(batch, n: int):
+def _sliced(batch, n: int, make=Shingles):
     raw, offsets = text_buffers(batch.column(1))
     for i, j in slices(offsets):
         for a in range(i, j, 1000):  # documents are numbered in the upper bits
             b = min(a + 1000, j)
-            yield a, b, Shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+            yield a, b, make(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-    """Hashes and frequencies of frequent n-grams and common words, over all documents.
+def _tally(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+    return values.view(np.int64), n
+
+
+def _cells(docs: DataFrame, n: int) -> tuple[np.ndarray, DataFrame, int, int]:
+    """How many n-grams fall into each of CELLS cells, the words' counts, and how many documents and words there are.
 
-    Every task counts some documents at a time and hands on what is frequent there; the
-    sums that are frequent over all are kept, so at most the inverse of the two
-    shares times the n-grams per document are. Rarer ones count as rare. A count falls short of the
-    true one by less than 2, or FREQUENT of the documents if more, for each part counted; it
-    only orders tokens and prices prefixes, so links don't depend on it.
+    The driver gets CELLS numbers, whatever the input.
     """
+    names = ["kind", "key", "n", "cells"]
 
-    def counted(parts: list[tuple[np.ndarray, np.ndarray]], n_docs: int) -> pa.RecordBatch:
-        keys, counts, kinds = [], [], []
-        total = sum(len(p[1]) for p in parts)
-        for kind, least in ((0, max(2.0, FREQUENT * n_docs)), (1, COMMON * total)):
-            v = np.sort(np.concatenate([np.zeros(0, np.uint64), *(p[kind] for p in parts)]))
-            at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-            c = np.diff(np.append(at, len(v)))
-            on = c >= least
-            keys.append(v[at[on]].view(np.int64))
-            counts.append(c[on])
-            kinds.append(np.full(on.sum(), kind, np.int8))
-        keys.append(np.zeros(2, np.int64))
-        counts.append(np.array([n_docs, total]))
-        kinds.append(np.array([2, 3], np.int8))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (kinds, keys, counts)], names=["kind", "key", "n"])
+    def rows(kind: int, key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(count), pa.nulls(len(key), pa.binary())], names=names)
 
     def run(batches):
+        cells, parts, held, n_docs, n_words = np.zeros(CELLS, np.int64), [], 0, 0, 0
         for b in batches:
-            parts, n_docs, held = [], 0, 0
-            for i, j, s in _sliced(b, n):
-                parts.append((s.token, s.words))
-                n_docs, held = n_docs + j - i, held + len(s.words)
+            for i, j, (h, _, _, _, v) in _sliced(b, n, _grams):
+                cells += np.bincount((v & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                parts.append(h)
+                n_docs, n_words, held = n_docs + j - i, n_words + len(h), held + len(h)
+                if held >= COUNTED_WORDS:
+                    yield rows(1, *_tally(parts))
+                    parts, held = [], 0
+        yield rows(1, *_tally(parts))
+        yield rows(2, np.zeros(1, np.int64), np.array([n_docs]))
+        yield rows(3, np.zeros(1, np.int64), np.array([n_words]))
+        pieces = [x.tobytes() for x in cells.reshape(-1, PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), 4, np.int8)), pa.array(np.arange(len(pieces))), pa.array(np.zeros(len(pieces), np.int64)), pa.array(pieces, pa.binary())], names=names)
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, of in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(of.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["key", "cells"])
+
+    counts = cut(docs.mapInArrow(lean(run), "kind byte, key long, n long, cells binary"))
+    total = {r["kind"]: r["n"] for r in counts.where("kind in (2, 3)").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    cells = np.zeros(CELLS, np.int64)
+    for r in counts.where("kind = 4").select("key", "cells").repartition("key").mapInArrow(lean(added), "key long, cells binary").collect():
+        cells.reshape(-1, PIECE)[r["key"]] += np.frombuffer(r["cells"], np.int64)
+    by_word = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
+    return cells, by_word, total.get(2, 0), total.get(3, 0)
+
+
+def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Hashes and frequencies of frequent n-grams and common words; both are exact counts over all documents.
+
+    A first pass counts cells of n-grams; a cell holds at least as many as any n-gram in it is
+    in documents, so frequent n-grams lie in full cells alone, and a second pass counts only what
+    lies in those. The kept are at most the inverse of the two shares times the n-grams per document.
+    """
+    cells, by_word, n_docs, n_words = _cells(docs, n)
+    least = max(2.0, FREQUENT * n_docs)
+    full = np.packbits(cells >= least, bitorder="little")
+
+    def run(batches):
+        parts, held = [], 0
+        for b in batches:
+            for _, _, (h, doc, _, _, v) in _sliced(b, n, _grams):
+                cell = (v & np.uint64(CELLS - 1)).astype(np.int64)
+                on = np.flatnonzero(full[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                parts.append(np.unique((doc[on].astype(np.uint64) << np.uint64(_HASH_BITS)) | v[on]) & _LOW)
+                held += len(h)
                 if held >= COUNTED_WORDS:
-                    yield counted(parts, n_docs)
-                    parts, n_docs, held = [], 0, 0
-            if parts:
-                yield counted(parts, n_docs)
-
-    sums = cut(docs.mapInArrow(lean(run), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    total = {r["kind"]: r["n"] for r in sums.where("kind >= 2").collect()}
-    n_docs, n_words = total.get(2, 0), total.get(3, 0)
-    kept = sums.where(((F.col("kind") == 0) & (F.col("n") >= max(2.0, FREQUENT * n_docs))) | ((F.col("kind") == 1) & (F.col("n") >= max(1.0, COMMON * n_words))))
-    got = kept.toPandas()
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tally(parts)], names=["key", "n"])
+                    parts, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _tally(parts)], names=["key", "n"])
+
+    by_gram = docs.mapInArrow(lean(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     out = []
-    for kind in (0, 1):
-        t = got[got["kind"] == kind]
+    for counts, from_ in ((by_gram, least), (by_word, max(1.0, COMMON * n_words))):
+        t = counts.where(F.col("n") >= from_).toPandas()
         key, c = t["key"].to_numpy(np.int64).view(np.uint64), t["n"].to_numpy(np.int64)
         order = np.argsort(key)
         out += [key[order], c[order].astype(np.float64)]

@@ -265,6 +265,26 @@ def linked(rows, n, percent):
     return sorted((i if i is not None else -1, len(sets[k]), least[find(k)] if least[find(k)] is not None else -1) for k, (i, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("counted,cells", [(50, 1 << 14), (1_000_000, 1 << 20)])
+def test_frequencies_are_exact(spark, monkeypatch, counted, cells):
+    """Counts of n-grams and words don't depend on the parts in which they are counted, nor on how cells are shared."""
+    monkeypatch.setattr(jaccard, "COUNTED_WORDS", counted)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rows = [(i, t) for i, t in odd_texts() if t]
+    docs, by_word = defaultdict(int), defaultdict(int)
+    for _, t in rows:
+        w = re.findall(WORD, t.translate(LOW))
+        for x in w:
+            by_word[x] += 1
+        for g in {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, min(len(w), 1)))}:
+            docs[g] += 1
+    d = table(spark, rows, 5).select("doc_id", "text")
+    grams, gram_n, common, word_n, n_words = jaccard._frequent(d, 3)
+    assert sorted(gram_n.tolist()) == sorted(x for x in docs.values() if x >= 2)
+    assert sorted(word_n.tolist()) == sorted(by_word.values()) and n_words == sum(by_word.values())
+    assert len(set(grams.tolist())) == len(grams) and len(set(common.tolist())) == len(common)
+
+
 @pytest.mark.parametrize("n,percent,block", [(3, 90, 512), (5, 80, 4)])
 def test_similar_documents(spark, monkeypatch, n, percent, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
