@@ -363,13 +363,6 @@ def wkt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.line_order(spark, sf_dir).select(F.col("feature_id").alias("id"), wkt.line_text_units(F.col("geom")).alias("wkt"))
 
 
-@_query(f"WITH {_LINE_BOUNDS}, {_PART} SELECT lb.id AS left_id, pa.id AS right_id FROM lb JOIN pa ON lb.max_lng >= pa.min_lng AND lb.max_lat >= pa.min_lat AND lb.min_lng <= pa.max_lng AND lb.min_lat <= pa.max_lat WHERE lb.id % 50 = 0")
-def bbox_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth order's line against all rectangles (an extension)."""
-    asked = synth.line_order(spark, sf_dir).where("feature_id % 50 = 0")
-    return select.intersecting_pairs(asked, synth.rect_part(spark, sf_dir), 400_000_000)
-
-
 @_query(f"WITH {_LINE_BOUNDS}, {_PART} SELECT lb.id AS left_id, count(pa.id) AS n FROM lb LEFT JOIN pa ON lb.max_lng >= pa.min_lng AND lb.max_lat >= pa.min_lat AND lb.min_lng <= pa.max_lng AND lb.min_lat <= pa.max_lat GROUP BY lb.id")
 def bbox_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order's line against all rectangles: how many it meets, as the pairs are too many to return (an extension)."""
