@@ -30,6 +30,8 @@ MOST_MATCHES = 6
 #: Nodes of a list that are compared at once.
 BLOCK = 512
 BROADCAST_ROWS = 100_000
+#: Fewest and most bits of a set's parities. A posting carries them, so they don't grow with the longest texts; there they only rule out less.
+PARITY_BITS = (256, 2048)
 #: Words that are counted at a time.
 COUNTED_WORDS = 1_000_000
 #: Cells that n-grams are counted in before it is known which may be frequent, and cells that travel as one row.
@@ -79,11 +81,31 @@ class Shingles:
         h = mix(self.sums(mix(self.token)) ^ mix(self.sums(mix(self.token ^ np.uint64(0x5555))) + n.astype(np.uint64)))
         return np.where(n > 0, h | np.uint64(1), np.uint64(0))
 
-    def parities(self) -> np.ndarray:
-        """256 bits for each set, one flipped by each token: sets that differ in d tokens differ in at most d bits."""
-        out = np.zeros((len(self.first) - 1, 256), bool)
-        cell = self.doc * 256 + (mix(self.token + np.uint64(9)) & np.uint64(255)).astype(np.int64)
-        return (np.bincount(cell, minlength=out.size) & 1).astype(bool).reshape(out.shape)
+    def parities(self, percent: int) -> list[bytes]:
+        """Some bits for each set, one flipped by each token: sets that differ in d tokens differ in at most d bits.
+
+        Four bits for each token by which a set may differ from one of its size, as a power of two within PARITY_BITS.
+        """
+        may = 8 * np.diff(self.first) * (100 - percent) // (100 + percent)
+        bits = 1 << np.ceil(np.log2(np.clip(may, *PARITY_BITS))).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(bits)])
+        cell = at[self.doc] + (mix(self.token + np.uint64(9)).astype(np.int64) & (bits[self.doc] - 1))
+        packed = np.packbits((np.bincount(cell, minlength=at[-1]) & 1).astype(bool)).tobytes()
+        return [packed[x:y] for x, y in zip((at[:-1] >> 3).tolist(), (at[1:] >> 3).tolist())]
+
+
+def _folded(parities: list[bytes]) -> np.ndarray:
+    """Parities of one width, that of the shortest: halves of longer ones are laid on each other, which is what fewer bits would have given."""
+    width = np.array([len(p) for p in parities])
+    out = np.zeros((len(parities), int(width.min()) // 8), np.uint64)
+    for w in np.unique(width).tolist():
+        on = np.flatnonzero(width == w)
+        bits = np.frombuffer(b"".join(parities[i] for i in on), np.uint64).reshape(len(on), -1)
+        while bits.shape[1] > out.shape[1]:
+            half = bits.shape[1] // 2
+            bits = bits[:, :half] ^ bits[:, half:]
+        out[on] = bits
+    return out
 
 
 def _sliced(batch, n: int, make=Shingles):
@@ -232,7 +254,7 @@ def _publish(docs: DataFrame, n: int, percent: int, tables) -> DataFrame:
                 k = len(tok)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), pa.array(tok.view(np.int64)), pa.array(nod.view(np.int64)), pa.array(aux), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], names=names)
                 spread = mix(node + np.arange(i, j, dtype=np.uint64)).view(np.int64)
-                parity = [r.tobytes() for r in np.packbits(s.parities(), axis=1)]
+                parity = s.parities(percent)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(j - i, np.int8)), pa.array(spread), pa.array(node.view(np.int64)), b.column(2).slice(i, j - i), b.column(0).slice(i, j - i), pa.array(size), pa.array(parity, pa.binary())], names=names)
 
     return docs.withColumn("row", F.xxhash64("text")).mapInArrow(lean(run), _ROW)
@@ -340,7 +362,7 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def compare(t: pa.Table):
         node, aux, comp, own, home = (t.column(c).to_numpy() for c in ("node", "aux", "component", "_own", "_home"))
-        bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(node), -1)
+        bits = _folded(t.column("parity").to_pylist())
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         for x in range(len(node) - 1):
             y = np.arange(x + 1, len(node)) if i == j else np.flatnonzero((own == j) & (own[x] == i))
