@@ -154,3 +154,21 @@ def test_links_between_sizes_at_the_bound(spark):
         near = n - 3 in root and 100 * (n - 5) >= 90 * (n - 2)
         root[n] = root[n - 3] if near else n
     assert got == root
+
+
+def test_parities_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 9000)]
+    texts = [" ".join(base[:n]) for n in (0, 1, 40, 1500, 2000, 4300, 4700, 9000)]
+    texts += [" ".join(x if rng.random() > 0.03 else "other" for x in base[:n]) for n in (40, 2000, 4700, 9000)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    shingles = jaccard.Shingles(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 3)
+    sets = [set(shingles.token[a:z].tolist()) for a, z in zip(shingles.first, shingles.first[1:])]
+    for percent in (80, 90, 100):
+        parities = shingles.parities(percent)
+        assert all(jaccard.PARITY_BITS[0] <= 8 * len(p) <= jaccard.PARITY_BITS[1] for p in parities)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                a, b = jaccard._folded([parities[i], parities[j]])
+                assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+    assert len({len(p) for p in shingles.parities(90)}) > 1
