@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._columns import LOWER, NON_SPACE, mix, runs, slices, text_buffers, words
 from ._store import cut, discard
@@ -29,9 +29,13 @@ FREQUENT, COMMON = 1e-3, 2.0**-17
 MOST_MATCHES = 6
 #: Nodes of a list that are compared at once.
 BLOCK = 512
+#: Rows of lists that one task compares one after another, so that a pair of nodes that share many tokens is named about once.
+TOGETHER = 1 << 13
+#: Pairs at which a task adds up those it holds.
+HELD_PAIRS = 1 << 18
 BROADCAST_ROWS = 100_000
 #: Fewest and most bits of a set's parities. A posting carries them, so they don't grow with the longest texts; there they only rule out less.
-PARITY_BITS = (256, 2048)
+PARITY_BITS = (256, 8192)
 #: Words that are counted at a time.
 COUNTED_WORDS = 1_000_000
 #: Cells that n-grams are counted in before it is known which may be frequent, and cells that travel as one row.
@@ -312,12 +316,24 @@ def _fits(a_aux, b_aux, percent: int) -> np.ndarray:
     return np.minimum(place_a, place_b) + np.minimum(size_a - place_a, size_b - place_b) >= least
 
 
-_PAIR = "a long, b long, need int"
+_PAIR = "a long, b long, need int, m long"
 
 
 def _pairs(a, b, a_aux, b_aux) -> pa.RecordBatch:
     need = np.minimum(a_aux & 0xFF, b_aux & 0xFF).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need)], names=["a", "b", "need"])
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(need), pa.array(np.ones(len(need), np.int64))], names=["a", "b", "need", "m"])
+
+
+def _added(pairs: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """One row of each pair: the least it has to share and how many tokens it has shared."""
+    t = pa.Table.from_batches(pairs)
+    if not len(t):
+        return []
+    a, b, need, m = (t.column(c).to_numpy() for c in range(4))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return [pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.minimum.reduceat(need[order], at)), pa.array(np.add.reduceat(m[order], at))], names=t.column_names)]
 
 
 def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -352,13 +368,19 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list in different components that sizes, places and parities allow, in blocks of the list.
 
     A list falls into ranges of sizes; nodes also visit the next range, where they meet those at home there.
+    Lists with one least node have much the same nodes: they are compared in one task, up to TOGETHER
+    rows, which adds up what a pair shares in them.
     """
-    rows = lists.select("key", "node", "aux").join(nodes.select("node", "component", "parity"), "node").withColumn("_range", _sizes(percent))
+    rows = lists.select("key", "node", "aux").join(nodes.select("node", "component"), "node").withColumn("_range", _sizes(percent))
     rows = rows.withColumn("_visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", F.xxhash64("key", F.col("_range") + F.col("_visits"))).withColumn("_home", F.col("_visits") == 0)
-    several = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"), F.max("_home").alias("_h")).where("_a <> _b and _h").select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = rows.join(several, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    several = rows.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n"), F.max("_home").alias("_h"), F.min("node").alias("_least")).where("_a <> _b and _h").select("key", "_least", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
+    # rows of lists before this one, in lists that could be compared with it: every TOGETHER of them a task takes over
+    before = F.sum("_n").over(Window.partitionBy("_least", "_blocks").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    several = several.select("key", "_blocks", F.xxhash64("_least", "_blocks", F.floor(F.coalesce(before, F.lit(0)) / TOGETHER)).alias("_with"))
+    # parities are most of a row's bytes: they come once it is known which lists are compared
+    rows = rows.join(several, "key").join(nodes.select("node", "parity"), "node").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "aux", "component", "parity", "_own", "_home")
+    rows = rows.select("_with", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "key", "node", "aux", "component", "parity", "_own", "_home")
 
     def compare(t: pa.Table):
         node, aux, comp, own, home = (t.column(c).to_numpy() for c in ("node", "aux", "component", "_own", "_home"))
@@ -375,29 +397,52 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if len(y):
                 yield _pairs(node[y], np.full(len(y), node[x]), aux[y], np.full(len(y), aux[x]))
 
-    def run(batches):
+    def lists_of(batches):
+        """(task's key, table) of each block of a list."""
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
             if not b.num_rows:
                 continue
-            k = np.column_stack([b.column(c).to_numpy() for c in range(3)])
+            k = np.column_stack([b.column(c).to_numpy() for c in range(4)])
             cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
             for x, y in zip(cuts, cuts[1:]):
                 if held and last != tuple(k[x]):
-                    yield from compare(pa.Table.from_batches(held))
+                    yield last[:3], pa.Table.from_batches(held)
                     held = []
                 last = tuple(k[x])
                 held.append(b.slice(x, y - x))
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield last[:3], pa.Table.from_batches(held)
+
+    def run(batches):
+        found: list[pa.RecordBatch] = []
+        n, last = 0, None
+        for at, t in lists_of(batches):
+            if found and at != last:
+                yield from _added(found)
+                found, n = [], 0
+            last = at
+            pairs = list(compare(t))
+            if not pairs:
+                continue
+            found += _added(pairs)
+            n += len(found[-1])
+            if n >= HELD_PAIRS:
+                found = _added(found)
+                n = len(found[0])
+                if n >= HELD_PAIRS // 2:
+                    yield from found
+                    found, n = [], 0
+        if found:
+            yield from _added(found)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), _PAIR)
+    return rows.repartition("_with", "i", "j").sortWithinPartitions("_with", "i", "j", "key").mapInArrow(lean(run), _PAIR)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) of the pairs that share enough prefix tokens and whose sets then are similar."""
-    pairs = cut(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("need").alias("need")).where("m >= need").select("a", "b"))
+    pairs = cut(pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.min("need").alias("need")).where("m >= need").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "row"), "node")
     wanted = cut(wanted.select(F.col("row").alias("_row"), "node"))
     texts = docs.withColumn("_row", F.xxhash64("text"))

@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+from collections import defaultdict
 
 import corpus_pipeline
 import numpy as np
@@ -172,3 +173,37 @@ def test_parities_never_differ_by_more_than_the_sets():
                 a, b = jaccard._folded([parities[i], parities[j]])
                 assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
     assert len({len(p) for p in shingles.parities(90)}) > 1
+
+
+@pytest.mark.parametrize("together,held", [(1 << 15, 1 << 18), (40, 3)])
+def test_pairs_that_share_many_tokens_are_named_about_once(spark, monkeypatch, together, held):
+    """Texts with a passage in common share up to 30 prefix tokens a pair but aren't similar; whatever the parts, the counts stay exact."""
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    monkeypatch.setattr(jaccard, "HELD_PAIRS", held)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base[:260] + [f"x{i}" for _ in range(r.randint(30, 40))]) if i % 2 else " ".join(f"y{i}" if k % 29 == i % 29 else w for k, w in enumerate(base)) for i in range(40)]
+    docs = odd(spark, list(enumerate(texts))).select("doc_id", "text").cache()
+    published = jaccard._shared(jaccard._publish(docs, 3, 90, jaccard._frequent(docs, 3))).cache()
+    lists = published.where("kind = 0").select("key", "node", "aux")
+    nodes = published.where("kind = 1").select("node", F.col("node").alias("component"), "parity")
+    got = jaccard._cross_pairs(lists, nodes, 90).collect()
+    postings = defaultdict(dict)
+    for x in lists.collect():
+        postings[x.key][x.node] = x.aux
+    parity = {x.node: x.parity for x in nodes.collect()}
+    want = defaultdict(int)
+    for held_by in postings.values():
+        for a in held_by:
+            for b in held_by:
+                if a < b and jaccard._fits(np.array([held_by[a]]), np.array([held_by[b]]), 90)[0]:
+                    p, q = jaccard._folded([parity[a], parity[b]])
+                    size = sum((held_by[x] >> 8) & 0xFFFFFFFF for x in (a, b))
+                    want[a, b] += int(np.bitwise_count(p ^ q).sum() * 190 <= 10 * size)
+    sums = defaultdict(int)
+    for x in got:
+        sums[x.a, x.b] += x.m
+    assert dict(sums) == {k: m for k, m in want.items() if m}
+    assert max(sums.values()) >= 10
+    if together > 40:
+        assert len(got) <= 4 * len(sums) < sum(sums.values()) / 2
