@@ -8,7 +8,7 @@ from ._store import cut
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # upper case counts here, as nothing is lower-cased first
+_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # upper case counts here, as nothing is lower-cased first
 #: Broadcast a table of test terms only up to so many rows and bytes (of its rows as JSON).
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16 << 20
 #: Bits of the map that tells which documents may have a match; it takes 4 MB at most, whatever the corpus.
@@ -21,8 +21,11 @@ def terms(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """How many `terms` a text has, without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD)).cast("long")
+    """How many `terms` a text has, as the pieces between runs of other characters.
+
+    Splitting keeps no match objects, as counting matches would; only the first and the last piece can be empty.
+    """
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _NO_WORD), "")).cast("long")
 
 
 def _small(frame: DataFrame) -> DataFrame:
