@@ -92,8 +92,8 @@ def _grams(w: Words, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (g * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS), np.concatenate([[0], np.cumsum(w.end - w.start)])
 
 
-#: A text over this many bytes is decoded in pieces of about as many.
-PIECE = 1 << 20
+#: Bytes decoded at a time; a text over this many is decoded in pieces of about as many.
+PIECE = 1 << 19
 
 
 def _piece_ends(text: np.ndarray, most: int) -> list[int]:

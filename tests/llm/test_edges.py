@@ -3,6 +3,7 @@
 import random
 import subprocess
 import sys
+import tracemalloc
 from collections import defaultdict
 
 import corpus_pipeline
@@ -218,3 +219,17 @@ def test_words_are_counted_without_a_match_object_each(spark):
     assert {x.text: x.n for x in counted.collect()}["@A[Z`a{z/0:9"] == 6
     plan = counted.select("n")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+
+
+def test_a_batch_of_short_texts_is_decoded_in_little_memory():
+    rng = np.random.default_rng(3)
+    many = 4
+    model = languages.Model([f"l{k}" for k in range(many)], rng.normal(size=(1 << languages.GRAM_BITS, many)).astype(np.float32), np.ones((len(languages.NAMES), many), bool))
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(500)]
+    texts = pa.array([" ".join(rng.choice(words, 300)) for _ in range(1500)])
+    model.predict(texts.slice(0, 5))
+    tracemalloc.start()
+    model.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20, peak
