@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import FeatureCountMismatch
 from ..functions import bounds
+from .shared import stored
 
 #: Children of a node, and bytes of a node in the binary format (fixed values of the data model).
 FANOUT, NODE_BYTES = 16, 28
@@ -71,42 +72,49 @@ def children(n: int, node: int) -> tuple[int, int] | None:
     return None
 
 
+def _inner(positioned: DataFrame, n: int) -> DataFrame:
+    """(level, pos, bounds) of all inner nodes: the lowest level sums up the features, and one more aggregation sums up that one for every level."""
+    parents = positioned.groupBy(_parent().alias("pos")).agg(*bounds.total())
+    each = parents.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(len(nodes_per_level(n)) - 1))))
+    span = F.element_at(F.array(*(F.lit(FANOUT**k).cast("long") for k in range(len(nodes_per_level(n)) - 1))), F.col("level"))
+    return each.withColumn("pos", F.call_function("div", F.col("pos"), span)).groupBy("level", "pos").agg(*bounds.total())
+
+
 def levels(positioned: DataFrame, announced: int | None = None, n: int | None = None) -> list[DataFrame]:
-    """(pos, bounds) by level, root first, from `n` features with `pos` (counted if not given); each level sums up the next in one aggregation."""
+    """(pos, bounds) by level, root first, from `n` features with `pos` (counted if not given). Store `nodes` to go through many levels."""
     n = positioned.count() if n is None else n
     if announced is not None and announced != n:
         raise FeatureCountMismatch(f"{announced} features were announced, {n} came")
-    level = positioned.select("pos", *bounds.NAMES)
-    out = [level]
-    for _ in range(max(len(nodes_per_level(n)) - 1, 0)):
-        level = level.groupBy(F.call_function("div", F.col("pos"), F.lit(FANOUT).cast("long")).alias("pos")).agg(*bounds.total())
-        out.insert(0, level)
-    return out if n else []
+    above = range(len(nodes_per_level(n)) - 1, 0, -1)
+    inner = [_inner(positioned, n).where(F.col("level") == k).select("pos", *bounds.NAMES) for k in above]
+    return [*inner, positioned.select("pos", *bounds.NAMES)] if n else []
 
 
 def nodes(positioned: DataFrame, n: int | None = None, least: int = 0) -> DataFrame:
-    """All nodes: node (number, root first), level (0 = leaf), pos (in the level) and bounds; with `least` only levels from that on."""
+    """All nodes: node (number, root first), level (0 = leaf), pos (in the level) and bounds; with `least` only levels from that on.
+
+    The plan has the same two aggregations however many levels there are.
+    """
     n = positioned.count() if n is None else n
-    out = positioned.where("false").select(F.lit(0).cast("long").alias("node"), F.lit(0).alias("level"), "pos", *bounds.NAMES)
-    starts = [a for a, _ in node_ranges(n)]
-    for depth, (level, start) in enumerate(zip(levels(positioned, n=n), starts)):
-        height = len(starts) - 1 - depth
-        if height >= least:
-            out = out.unionByName(level.select((F.col("pos") + start).alias("node"), F.lit(height).alias("level"), "pos", *bounds.NAMES))
-    return out
+    starts = [a for a, _ in reversed(node_ranges(n))]
+    first = F.element_at(F.array(*(F.lit(a).cast("long") for a in starts or [0])), F.col("level") + 1)
+    out = positioned.where(F.lit(n > 0 and least <= 0)).select(F.lit(0).alias("level"), "pos", *bounds.NAMES)
+    if len(starts) > 1:
+        out = out.unionByName(_inner(positioned, n).where(F.col("level") >= least))
+    return out.select((F.col("pos") + first).alias("node"), "level", "pos", *bounds.NAMES)
 
 
 def _parent() -> Column:
     return F.call_function("div", F.col("pos"), F.lit(FANOUT).cast("long"))
 
 
-def descend(tree: DataFrame, box: bounds.Box, down_to: int = 0) -> DataFrame:
+def descend(tree: DataFrame, box: bounds.Box, down_to: int = 0, top: int | None = None) -> DataFrame:
     """(pos) of level `down_to`'s nodes that meet the box, from stored `nodes`: only children of nodes that meet it are looked at.
 
     An upper level is small beside the next, so the walk is a chain of semi-joins whose
-    left sides are scans with the box pushed down.
+    left sides are scans with the box pushed down. `top` is the root's level, looked up if not given.
     """
-    top = tree.agg(F.max("level").alias("m")).first()["m"]
+    top = tree.agg(F.max("level").alias("m")).first()["m"] if top is None else top
     found = None
     for level in range(-1 if top is None else top, down_to - 1, -1):
         hit = tree.where((F.col("level") == level) & bounds.intersects(box))
@@ -136,5 +144,8 @@ def merged_ranges(pos: DataFrame, span: int = 1, gap: int = 0, most: int = 1024)
 
 
 def search(positioned: DataFrame, box: bounds.Box) -> DataFrame:
-    """Positions of the features whose bounds meet the box, from the root down. Builds the tree; a stored dataset keeps it."""
-    return descend(nodes(positioned), box)
+    """Positions of the features whose bounds meet the box, from the root down. Builds the inner nodes and stores them; a stored dataset keeps them."""
+    n = positioned.count()
+    leaves = positioned.select(F.lit(0).alias("level"), "pos", *bounds.NAMES)
+    inner = stored(nodes(positioned, n, 1)).drop("node")
+    return descend(leaves.unionByName(inner), box, top=len(nodes_per_level(n)) - 1)

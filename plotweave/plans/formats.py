@@ -241,7 +241,7 @@ def page_size_goal(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), island AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM hit) SELECT CAST(min(pos) * 16 AS BIGINT) AS first_place, CAST((max(pos) + 1) * 16 AS BIGINT) AS end_place FROM island GROUP BY g""")
 def rtree_merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places under neighbouring hits of the lowest inner level, as ranges."""
-    tree = rtree.nodes(_ranked(spark, sf_dir), least=1)
+    tree = shared.stored(rtree.nodes(_ranked(spark, sf_dir), least=1))
     found = rtree.merged_ranges(rtree.descend(tree, _BOX, 1), rtree.FANOUT, most=1 << 20)
     return spark.createDataFrame(found, "first_place long, end_place long")
 

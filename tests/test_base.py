@@ -202,3 +202,24 @@ def test_intersecting_counts_cover_every_row(spark):
         got = select.intersecting_counts(f, f, left_block, right_block).collect()
         assert len(got) == 60 and {r.left_id: r.n for r in got} == want
     assert {r.n for r in select.intersecting_counts(f, f.limit(0)).collect()} == {0}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 16, 17, 300])
+def test_tree_of_any_depth(spark, n):
+    f = spark.range(n).select(F.col("id").alias("pos"), *(F.col("id").cast("int").alias(c) for c in bounds.NAMES))
+    got = {(r.level, r.pos): (r.node, r.min_lng, r.max_lat) for r in rtree.nodes(f).collect()}
+    sizes = rtree.nodes_per_level(n)
+    want = {}
+    for k, (a, b) in enumerate(rtree.node_ranges(n)):
+        span = 16 ** (len(sizes) - 1 - k)
+        want |= {(len(sizes) - 1 - k, i): (a + i, i * span, min(n, (i + 1) * span) - 1) for i in range(b - a)}
+    assert got == want
+    assert [sorted(r.pos for r in level.collect()) for level in rtree.levels(f)] == [list(range(s)) for s in sizes]
+    box = bounds.Box(3, 3, 20, 20)
+    assert sorted(r.pos for r in rtree.search(f, box).collect()) == list(range(n))[3:21]
+
+
+def test_plan_of_the_tree_does_not_grow_with_its_levels(spark):
+    f = spark.range(40).select(F.col("id").alias("pos"), *(F.col("id").cast("int").alias(c) for c in bounds.NAMES))
+    sizes = [rtree.nodes(f, n)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") for n in (40, 16**5)]
+    assert sizes[0] == sizes[1] == 2
