@@ -1,12 +1,14 @@
 """The packed binary format: header, index and pages in one file. Uncompressed or zstd.
 
 All numbers are little-endian and of fixed width; lengths are u64, tags u32. A file
-can't be split, so each is read by one task, and written from the driver row by row in
-stored order with pages spooled to disk. Parquet datasets are the way to store much.
+can't be split, so each is read by one task. Its features are encoded and its pages and index
+made in tasks; the driver only strings the finished pieces together, stream to stream. Parquet
+datasets are the way to store much.
 """
 
 from __future__ import annotations
 
+import base64
 import io
 import itertools
 import json
@@ -15,12 +17,13 @@ import struct
 import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import DecodeError, StorageError
 from ..functions import bounds, geometry, properties, wkt
-from ..operators import layout, rtree
+from ..operators import layout, rtree, shared
 
 #: Widths and value types of the format (fixed values).
 HEADER, NODE, PAGE = struct.Struct("<?QQ"), struct.Struct("<iiiiQI"), struct.Struct("<III")
@@ -118,20 +121,28 @@ class _Cursor:
         return [(self.raw().decode(), *self.value()) for _ in range(self.take("Q")[0])]
 
 
-def encode(features: Iterable[tuple[tuple | None, bytes]], out, compressed: bool = False, goal: int = 64 * 1024) -> None:
-    """Writes (bounds, encoded feature) pairs, already in stored order, to a binary file object."""
+def _compressor():
     import zstandard
 
-    pack = zstandard.ZstdCompressor(write_content_size=True).compress if compressed else bytes
+    return zstandard.ZstdCompressor(write_content_size=True).compress
+
+
+def _page(body: bytes, count: int, pack) -> bytes:
+    """A page as it stands in a file, with its header."""
+    packed = pack(body)
+    return PAGE.pack(len(packed), len(body), count) + packed
+
+
+def encode(features: Iterable[tuple[tuple | None, bytes]], out, compressed: bool = False, goal: int = 64 * 1024) -> None:
+    """Writes (bounds, encoded feature) pairs, already in stored order, to a binary file object."""
+    pack = _compressor() if compressed else bytes
     leaves: list[tuple] = []
     with tempfile.TemporaryFile() as pages:
         page, count, start, n_pages = bytearray(), 0, 0, 0
 
         def close() -> None:
             nonlocal page, count, start, n_pages
-            body = pack(bytes(page))
-            pages.write(PAGE.pack(len(body), len(page), count) + body)
-            start += PAGE.size + len(body)
+            start += pages.write(_page(bytes(page), count, pack))
             page, count, n_pages = bytearray(), 0, n_pages + 1
 
         for box, data in features:
@@ -290,36 +301,152 @@ def header(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([row], "is_compressed boolean, page_count long, feature_count long, header_bytes long, index_bytes long, file_bytes long")
 
 
-class _Raw(io.RawIOBase):
-    """A stream of the JVM as a file object."""
+_ENCODED = "pos long, min_lng int, min_lat int, max_lng int, max_lat int, data binary"
+_PIECE = "page long, leaves binary, body binary"
+_LEAF = np.dtype([(n, "<i4") for n in bounds.NAMES] + [("page", "<u8"), ("offset", "<u4")])
+
+
+def _arrow(spark: SparkSession, kind: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], kind).schema)
+
+
+def _encoded(spark: SparkSession, placed: DataFrame) -> DataFrame:
+    """(pos, bounds, data) of placed features, each encoded once."""
+    arrow = _arrow(spark, _ENCODED)
+
+    def run(batches):
+        for b in batches:
+            data = []
+            for geom, entries in zip(b.column("geom").to_pylist(), b.column("entries").to_pylist()):
+                data.append(encode_feature(wkt.from_nodes(geom), [(e["key"], properties.TAGS[e["tag"]], json.loads(e["json"])) for e in entries or []]))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in arrow.names[:-1]), pa.array(data, pa.binary())], schema=arrow)
+
+    return placed.select("pos", *bounds.NAMES, "geom", "entries").mapInArrow(run, _ENCODED)
+
+
+def _first_places(encoded: DataFrame, goal: int) -> np.ndarray:
+    """The place of each page's first feature, ascending: one number for a page reaches the driver."""
+    sized = encoded.select("pos", (F.octet_length("data") + 8).cast("long").alias("size"))
+    ends = sized.agg(F.min("size").alias("a"), F.max("size").alias("z")).first()
+    paged = layout.pages_fixed(sized, ends["a"], goal) if ends["a"] == ends["z"] else layout.pages(sized, "size", goal, exact=True)
+    return np.sort(paged.groupBy("page_id").agg(F.min("pos").alias("pos")).select("pos").toArrow().column(0).to_numpy())
+
+
+def _pieces(spark: SparkSession, encoded: DataFrame, first: np.ndarray, compressed: bool) -> DataFrame:
+    """(page, leaves, body): each page as it stands in the file, and its leaves of the index but for the page's start."""
+    arrow, with_page = _arrow(spark, _PIECE), f"page long, {_ENCODED}"
+
+    def number(batches):
+        for b in batches:
+            page = np.searchsorted(first, b.column(0).to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), *b.columns], names=["page", *b.schema.names])
+
+    def pack(batches):
+        shrink = _compressor() if compressed else bytes
+        held, parts, at, kept = None, [], 0, []
 
-    def __init__(self, stream):
-        self.stream = stream
+        def close():
+            body, leaves = b"".join(data for _, data in parts), np.array([leaf for leaf, _ in parts], _LEAF)
+            return {"page": held, "leaves": leaves.tobytes(), "body": _page(body, len(parts), shrink)}
 
-    def writable(self) -> bool:
-        return True
+        for b in batches:
+            corners = zip(*(b.column(n).to_pylist() for n in bounds.NAMES))
+            for page, corner, data in zip(b.column("page").to_pylist(), corners, b.column("data").to_pylist()):
+                if page != held:
+                    if parts:
+                        kept.append(close())
+                    held, parts, at = page, [], 0
+                parts.append(((*(_NOWHERE if corner[0] is None else corner), 0, at), _u64(len(data)) + data))
+                at += 8 + len(data)
+            if kept:
+                yield pa.RecordBatch.from_pylist(kept, schema=arrow)
+                kept = []
+        if parts:
+            yield pa.RecordBatch.from_pylist([close()], schema=arrow)
+
+    numbered = encoded.mapInArrow(number, with_page)
+    return numbered.repartitionByRange("page").sortWithinPartitions("pos").mapInArrow(pack, _PIECE)
+
+
+def _written(frame: DataFrame, order: str, chunk) -> str:
+    """Writes the bytes that `chunk` makes of each batch, in order, as base64 text, the one form in which every file system takes them from tasks; gives the folder."""
+    at = shared.path(frame.sparkSession, "pieces")
 
-    def write(self, data) -> int:
-        self.stream.write(bytearray(data))
-        return len(data)
+    def run(batches):
+        rest = b""
+        for b in batches:
+            for data in chunk(b):
+                data = rest + data
+                whole = len(data) - len(data) % 3  # padding may stand at the end of a task's text only
+                rest = data[whole:]
+                if whole:
+                    yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(memoryview(data)[:whole]).decode()])], names=["value"])
+        if rest:
+            yield pa.RecordBatch.from_arrays([pa.array([base64.b64encode(rest).decode()])], names=["value"])
+
+    frame.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(run, "value string").write.option("compression", "none").text(at)
+    return at
+
+
+def _append(spark: SparkSession, folder: str, out) -> None:
+    """Copies the bytes under a folder of `_written` to a stream of the JVM, buffer by buffer."""
+    at, fs = _open(spark, folder)
+    jvm = spark._jvm
+    names = sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    for name in sorted(names, key=lambda n: (int(n.split("-")[1]), n)):
+        part = jvm.java.io.BufferedInputStream(fs.open(jvm.org.apache.hadoop.fs.Path(at, name)), 1 << 20)
+        try:
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.util.Base64.getMimeDecoder().wrap(part), out, 1 << 20, False)
+        finally:
+            part.close()
 
 
 def write(features: DataFrame, path: str, compressed: bool = False, goal: int = 64 * 1024) -> None:
-    """Writes one file to any file system that Spark writes; rows come to the driver one partition at a time, in stored order."""
+    """Writes one file to any file system that Spark writes.
+
+    Tasks encode the features and make pages and index; two numbers for each page reach the driver, which
+    copies the finished pieces into the file.
+    """
     spark = features.sparkSession
     rows = layout.with_hilbert(features).select("hilbert", "feature_id", "geom", properties.to_json_entries(F.col("properties")).alias("entries"), *bounds.NAMES)
-
-    def each():
-        for r in rows.orderBy(*layout.order()).toLocalIterator():
-            entries = [(e["key"], properties.TAGS[e["tag"]], json.loads(e["json"])) for e in r["entries"] or []]
-            yield (None if r["min_lng"] is None else tuple(r[n] for n in bounds.NAMES)), encode_feature(wkt.from_nodes(r["geom"]), entries)
-
+    encoded = shared.stored(_encoded(spark, layout.ranked(rows)))
+    n = encoded.count()
+    folders, pages = [], 1
+    if n:
+        first = _first_places(encoded, goal)
+        pieces, pages = shared.stored(_pieces(spark, encoded, first, compressed)), len(first)
+        sizes = pieces.select("page", F.octet_length("body").alias("n")).toArrow()
+        size = np.zeros(pages, np.int64)
+        size[sizes.column(0).to_numpy()] = sizes.column(1).to_numpy()
+        start = np.cumsum(size) - size
+
+        def inner(b):
+            out = np.zeros(b.num_rows, _LEAF)
+            for name, none in zip(bounds.NAMES, _NOWHERE):
+                out[name] = b.column(name).fill_null(none).to_numpy()
+            yield out.tobytes()
+
+        def leaves(b):
+            for page, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out = np.frombuffer(data, _LEAF).copy()
+                out["page"] = start[page]
+                yield out.tobytes()
+
+        tree = rtree.nodes(encoded, n, 1).select("node", *bounds.NAMES)
+        folders = [_written(tree, "node", inner), _written(pieces.select("page", "leaves"), "page", leaves), _written(pieces.select("page", "body"), "page", lambda b: b.column(1).to_pylist())]
     at, fs = _open(spark, path)
     stream = fs.create(at, True)
     try:
-        out = io.BufferedWriter(_Raw(stream), 1 << 20)
-        encode(each(), out, compressed, goal)
-        out.flush()
+        if n:
+            stream.write(bytearray(HEADER.pack(compressed, pages, n)))
+            for folder in folders:
+                _append(spark, folder, stream)
+        else:
+            none = io.BytesIO()
+            encode([], none, compressed, goal)
+            stream.write(bytearray(none.getvalue()))
     finally:
         stream.close()
 

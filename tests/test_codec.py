@@ -1,6 +1,7 @@
 """Sizes and round trips of the packed binary format."""
 
 import io
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,3 +43,33 @@ def test_files(spark, tmp_path):
     got = [(r.n, r.min_lng, r.s) for r in back.orderBy("feature_id").select(properties.get(p, "n", "bigint").alias("n"), "min_lng", properties.get(p, "s", "string").alias("s")).collect()]
     want = [r.feature_id for r in layout.with_hilbert(f).orderBy(*layout.order()).collect()]
     assert got == [(i, i * 1000, str(i)) for i in want]
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+@pytest.mark.parametrize("n, goal", [(0, 300), (1, 300), (17, 300), (3000, 1000), (3000, 64 * 1024)])
+def test_file_made_in_tasks_is_the_one_made_in_one_place(spark, tmp_path, n, goal, compressed):
+    at = F.struct((F.col("id") * 7919 % 1000).cast("int").alias("lng"), (F.col("id") * 104729 % 1000).cast("int").alias("lat"))
+    shape = F.when(F.col("id") % 11 == 3, geometry.line_string(F.expr("cast(array() as array<struct<lng:int,lat:int>>)"))).otherwise(geometry.point(at))
+    f = spark.range(n).repartition(3).select(F.col("id").alias("feature_id"), shape.alias("geom"), properties.of(properties.entry("s", F.repeat(F.lit("x"), (F.col("id") % 13).cast("int")), "string")).alias("properties"))
+    f = f.select("*", *geometry.bounds(F.col("geom")))
+    codec.write(f, str(tmp_path / "x.bin"), compressed, goal)
+    rows = layout.with_hilbert(f).orderBy(*layout.order()).select("*", properties.to_json_entries(F.col("properties")).alias("e")).collect()
+    out = io.BytesIO()
+    codec.encode([(None if r.min_lng is None else (r.min_lng, r.min_lat, r.max_lng, r.max_lat), codec.encode_feature(wkt.from_nodes(r.geom), [("s", "string", json.loads(r.e[0].json))])) for r in rows], out, compressed, goal)
+    assert (tmp_path / "x.bin").read_bytes() == out.getvalue()
+
+
+def test_rows_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
+    f = spark.range(200).select(F.col("id").alias("feature_id"), geometry.point(F.struct(F.col("id").cast("int").alias("lng"), F.col("id").cast("int").alias("lat"))).alias("geom"), properties.empty().alias("properties"))
+    came = []
+    for name in ("collect", "toArrow", "toLocalIterator"):
+
+        def counted(self, *args, _whole=getattr(type(f), name), **named):
+            got = _whole(self, *args, **named)
+            got = list(got) if not hasattr(got, "num_rows") else got
+            came.append(len(got))
+            return got
+
+        monkeypatch.setattr(type(f), name, counted)
+    codec.write(f.select("*", *geometry.bounds(F.col("geom"))), str(tmp_path / "x.bin"))
+    assert came and max(came) < 20
