@@ -6,8 +6,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plotweave.functions import geometry, properties, wkt
+from plotweave.functions import bounds, geometry, properties, wkt
 from plotweave.operators import layout
+from plotweave.plans import queries
 from plotweave.sources import codec
 
 
@@ -59,17 +60,48 @@ def test_file_made_in_tasks_is_the_one_made_in_one_place(spark, tmp_path, n, goa
     assert (tmp_path / "x.bin").read_bytes() == out.getvalue()
 
 
-def test_rows_do_not_come_to_the_driver(spark, tmp_path, monkeypatch):
-    f = spark.range(200).select(F.col("id").alias("feature_id"), geometry.point(F.struct(F.col("id").cast("int").alias("lng"), F.col("id").cast("int").alias("lat"))).alias("geom"), properties.empty().alias("properties"))
-    came = []
+@pytest.fixture
+def came(monkeypatch):
+    """How many rows each call brings to the driver."""
+    got = []
+
+    def watch(kind, name):
+        whole = getattr(kind, name)
+
+        def counted(self, *args, **named):
+            rows = whole(self, *args, **named)
+            rows = rows if hasattr(rows, "num_rows") else list(rows)
+            got.append(len(rows))
+            return rows
+
+        monkeypatch.setattr(kind, name, counted)
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
     for name in ("collect", "toArrow", "toLocalIterator"):
+        watch(DataFrame, name)
+    return got
 
-        def counted(self, *args, _whole=getattr(type(f), name), **named):
-            got = _whole(self, *args, **named)
-            got = list(got) if not hasattr(got, "num_rows") else got
-            came.append(len(got))
-            return got
 
-        monkeypatch.setattr(type(f), name, counted)
+def test_rows_do_not_come_to_the_driver(spark, tmp_path, came):
+    f = spark.range(200).select(F.col("id").alias("feature_id"), geometry.point(F.struct(F.col("id").cast("int").alias("lng"), F.col("id").cast("int").alias("lat"))).alias("geom"), properties.empty().alias("properties"))
     codec.write(f.select("*", *geometry.bounds(F.col("geom"))), str(tmp_path / "x.bin"))
     assert came and max(came) < 20
+
+
+def test_box_query_of_a_packed_file_leaves_rows_with_the_tasks(spark, came):
+    found = queries.QUERIES["packed_select_bbox"](spark, "/root/testdata/sf0.001")
+    assert came and max(came) < 20 < spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert found.count() == queries.QUERIES["rtree_search"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_box_of_a_file_made_in_tasks(spark, tmp_path):
+    """Hits on many pages that different tasks have made."""
+    at = F.struct((F.col("id") * 7919 % 1000).cast("int").alias("lng"), (F.col("id") * 104729 % 1000).cast("int").alias("lat"))
+    f = spark.range(3000).repartition(5).select(F.col("id").alias("feature_id"), geometry.point(at).alias("geom"), properties.of(properties.entry("n", F.col("id"), "int64")).alias("properties"))
+    f = f.select("*", *geometry.bounds(F.col("geom")))
+    codec.write(f, str(tmp_path / "x.bin"), compressed=True, goal=700)
+    box = bounds.Box(100, 150, 420, 700)
+    got = sorted(r[0] for r in codec.read(spark, str(tmp_path / "x.bin"), box).select(properties.get(F.col("properties"), "n", "bigint")).collect())
+    assert got == sorted(r[0] for r in f.where(bounds.intersects(box)).select("feature_id").collect()) and len(got) > 100
+    assert codec.transfer(spark, str(tmp_path / "x.bin"), box).first().features == len(got)
